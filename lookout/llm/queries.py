@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("q3_seen",)
+_PARTS = ("q2_lookalike", "q3_seen")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
