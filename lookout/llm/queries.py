@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("q2_lookalike", "q3_seen", "q6_tokens")
+_PARTS = ("q2_lookalike", "q3_seen", "q6_tokens", "q8_subjects")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
