@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("q2_lookalike", "q3_seen", "q6_tokens", "q7_mixing", "q8_subjects")
+_PARTS = ("q2_lookalike", "q3_seen", "q5_near", "q6_tokens", "q7_mixing", "q8_subjects")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
