@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.session import broadcast_if_small
 
+try:
+    import ahocorasick
+except ImportError:  # the equi-join on first characters serves then
+    ahocorasick = None
+
 
 def suffixes(host: Column, proper: bool = False) -> Column:
     """A host and its dot-suffixes, longest first; ``proper`` leaves the host itself out. Null for null."""
@@ -40,18 +46,42 @@ def find_all(text: Column, term: Column) -> Column:
 
 
 def contains_join(left: DataFrame, text: str, terms: DataFrame, term: str, gram: int = 3) -> DataFrame:
-    """left x terms where the text contains the term, through a shared gram: an equi-join on the term's rarest position
-    isn't known, so its first ``gram`` characters serve; shorter terms meet all texts of which they are a part by their
-    own length. Exact: every match contains the term's first characters. Clashing names: terms come as ``right``."""
-    head = F.substr(F.col(term), F.lit(1), F.least(F.lit(gram), F.length(term)))
-    keyed = terms.where(F.length(term) > 0).select(head.alias("_head"), F.col(term).alias("_term"), F.struct(*terms.columns).alias("right"))
-    keyed, _ = broadcast_if_small(keyed)
-    widths = range(1, gram + 1)
-    grams = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i, n=n: F.substr(F.col(text), i, F.lit(n))) for n in widths])))
+    """left x terms where the text contains the term; terms come as ``right``, a struct. Null texts and empty terms match nothing.
+
+    Terms within the checked size go to the workers as one multi-pattern automaton, which reads every text once. More
+    terms than that meet the texts by equality of their first ``gram`` characters; every match contains those, so
+    nothing is missed.
+    """
+    usable = terms.where(F.length(term) > 0).select(F.col(term).alias("_term"), F.struct(*terms.columns).alias("right"))
+    keyed, small = broadcast_if_small(usable)
+    if small and ahocorasick is not None:
+        patterns = sorted({r[0] for r in usable.select("_term").collect()})
+        tagged = left.withColumn("_hit", F.explode(_contained(patterns)(F.col(text))))
+        return tagged.join(keyed, F.col("_hit") == F.col("_term")).drop("_hit", "_term")
+    head = F.substr(F.col("_term"), F.lit(1), F.least(F.lit(gram), F.length("_term")))
+    keyed = usable.withColumn("_head", head)
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, gram + 1)])))
     tagged = left.withColumn("_gram", F.explode(grams))
     return tagged.join(keyed, (F.col("_gram") == F.col("_head")) & F.contains(F.col(text), F.col("_term"))).drop("_gram", "_head", "_term")
 
 
+def _contained(patterns: list[str]):
+    """An Arrow UDF: the different patterns that each text contains."""
+
+    def find(texts: pd.Series) -> pd.Series:
+        a = ahocorasick.Automaton()
+        for p in patterns:
+            a.add_word(p, p)
+        a.make_automaton()
+        return texts.map(lambda t: sorted({p for _, p in a.iter(t)}) if t and patterns else [])
+
+    return F.pandas_udf(find, "array<string>")
+
+
 def deletions(word: Column, most: int = 2) -> Column:
     """A word and what up to ``most`` deletions leave of it: two words within that edit distance share one."""
     out = F.array(word)
