@@ -48,18 +48,20 @@ def skipping(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
 
 
-def gaps(df: DataFrame, keys: Sequence[str], time: str, seq: str, threshold_seconds: float, bucket_seconds: int = 3600) -> DataFrame:
+def gaps(df: DataFrame, keys: Sequence[str], time: str, seq: str, threshold_seconds: float, bucket_seconds: int = 3600, keep_seq: bool = False) -> DataFrame:
     """keys, gap_start, gap_end, seconds of consecutive rows further apart than the threshold (ties by ``seq``).
 
+    ``keep_seq`` adds the seq of the row that ends the gap.
     A key's rows, or all rows if there are no keys, are cut into buckets of time, so no task takes a whole key: gaps inside
     buckets come from a window per bucket, gaps between them from the buckets' first and last times.
     """
     rows = df.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), F.col(seq).alias("_s"), F.floor(F.unix_micros(time) / (bucket_seconds * 1_000_000)).alias("_b"))
-    inside = rows.select(*keys, F.lag("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t", "_s")).alias("gap_start"), F.col("_t").alias("gap_end"))
-    ends = rows.groupBy(*keys, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
-    between = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("gap_start"), F.col("_first").alias("gap_end"))
+    inside = rows.select(*keys, F.lag("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t", "_s")).alias("gap_start"), F.col("_t").alias("gap_end"), "_s")
+    ends = rows.groupBy(*keys, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.min(F.struct("_t", "_s"))["_s"].alias("_s"))
+    between = ends.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("gap_start"), F.col("_first").alias("gap_end"), "_s")
     seconds = (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / 1e6
-    return inside.unionByName(between).withColumn("seconds", seconds).where(F.col("seconds") > threshold_seconds)
+    found = inside.unionByName(between).withColumn("seconds", seconds).where(F.col("seconds") > threshold_seconds)
+    return found.withColumnRenamed("_s", seq) if keep_seq else found.drop("_s")
 
 
 def clipped_seconds(spans: DataFrame, start: str, end: str, lower: Column, upper: Column) -> DataFrame:
