@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookout.functions import names
+from lookout.session import spread
 from lookout.sources.registry import Registry
 
 MATCHER_VERSION = "1"
@@ -87,7 +88,9 @@ class NameMatcher:
         suppressing = {n: d["kind"] == "official" for n, d in domains.items() if d.get("suppresses") and d["status"] == "confirmed"}
         context = sorted({c["term"] for c in r.rows("context_terms")})
         needles = {*by_term, *likes, *context, *(x for xs in by_term.values() for x in xs)} - {""}
-        return {"high": [k for k in words if k["tier"] == "high"], "low": [k for k in words if k["tier"] == "low"], "exclusions": by_term, "domains": domains, "likes": likes, "near": near, "suppressing": suppressing, "context": context, "needles": needles}
+        tier = lambda t: {term: [k for k in words if k["term"] == term and k["tier"] == t] for term in {k["term"] for k in words if k["tier"] == t}}
+        sizes = [len(k["term"]) for k in words if k.get("fuzzy") or k["tier"] == "high"] or [0]
+        return {"high": tier("high"), "low": tier("low"), "near_chars": (min(sizes) - FUZZY_MOST_EDITS, max(sizes) + FUZZY_MOST_EDITS), "exclusions": by_term, "domains": domains, "likes": likes, "near": near, "suppressing": suppressing, "context": context, "needles": needles}
 
     @cached_property
     def _automaton(self):
@@ -154,9 +157,10 @@ class NameMatcher:
         """Known domains written inside other names, between characters that are no letters or digits; one hit a domain."""
         edge = lambda text, i: i < 0 or i >= len(text) or not text[i].isalnum()
         best: dict[str, tuple] = {}
-        for form, owners in self._tables["likes"].items():
-            for place, text in enumerate((n["skeleton"], n["residue"])):
-                span = next((s for s in self._spans(text, memo).get(form, ()) if edge(text, s[0] - 1) and edge(text, s[1])), None)
+        for place, text in enumerate((n["skeleton"], n["residue"])):
+            for form, spans in self._spans(text, memo).items():
+                owners = self._tables["likes"].get(form, ())
+                span = next((s for s in spans if edge(text, s[0] - 1) and edge(text, s[1])), None) if owners else None
                 if span:
                     for d in owners:
                         if d["name"] not in parents:
@@ -169,24 +173,25 @@ class NameMatcher:
         flat = n["plain"].replace("-", "")
         forms = [("substring", n["plain"]), ("folded", flat), ("folded", flat.replace(".", "")), ("homoglyph", n["skeleton"])]
         forms += [("homoglyph", x) for y in ("folded", "residue") for x in (n[y], n[y].replace(".", ""))]
-        out = []
-        for k in self._tables["high"]:
-            for reason, text in forms:
-                spans, free = self._spans(text, memo), None
-                for s in spans.get(k["term"], ()):
-                    by = self._excluding(k["term"], s, spans)
+        high, done, out = self._tables["high"], set(), []
+        for reason, text in forms:
+            spans = self._spans(text, memo)
+            for term in spans:
+                if term not in high or term in done:
+                    continue
+                for s in spans[term]:
+                    by = self._excluding(term, s, spans)
                     if by is None:
-                        free = s
+                        done.add(term)
+                        out += [{"type": "keyword", "keyword": term, "brand": k["brand"], "tier": "high", "reason": reason, "start": s[0], "end": s[1]} for k in high[term]]
                         break
                     notes.add(f"excluded:{by}")
-                if free:
-                    out.append({"type": "keyword", "keyword": k["term"], "brand": k["brand"], "tier": "high", "reason": reason, "start": free[0], "end": free[1]})
-                    break
         return out
 
     def _near(self, n: dict, taken: set[str]) -> list[dict]:
         """Keywords at one or two edits from a part of the name; the closest, then first part. Not fuzzy ones only meet parts with other characters."""
-        parts = {p for label in n["skeleton"].split(".") for p in (label.replace("-", ""), *label.split("-")) if len(p) >= FUZZY_LEAST_CHARS}
+        shortest, longest = self._tables["near_chars"]
+        parts = {p for label in n["skeleton"].split(".") for p in (label.replace("-", ""), *label.split("-")) if max(FUZZY_LEAST_CHARS, shortest) <= len(p) <= longest}
         best: dict[str, tuple] = {}
         for p in parts:
             offers = {k["term"]: k for s in shortened(p, FUZZY_MOST_EDITS) for k in self._tables["near"].get(s, ())}
@@ -202,9 +207,9 @@ class NameMatcher:
         brands = sorted(f"brand:{h['keyword']}" for h in found if h["type"] in (*STRONG_HITS, "fuzzy"))
         text, folded, out = n["skeleton"], self._spans(n["folded"], memo), []
         spans = self._spans(text, memo)
-        for k in self._tables["low"]:
+        for k in (k for term in spans for k in self._tables["low"].get(term, ())):
             context = brands + [c for c in self._tables["context"] if c != k["term"] and c in folded]
-            for a, b in spans.get(k["term"], ()):
+            for a, b in spans[k["term"]]:
                 by = self._excluding(k["term"], (a, b), spans)
                 whole = (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
                 if by is not None:
@@ -229,7 +234,7 @@ def match_names(rows: DataFrame, name: str, registry: Registry, out: str = "matc
             known: dict = {}
             yield pd.DataFrame([known[x] if x in known else known.setdefault(x, matcher.match(x) or none) for x in s], columns=columns)
 
-    return rows.withColumn(out, F.pandas_udf(batches, SCHEMA)(F.col(name)))
+    return spread(rows).withColumn(out, F.pandas_udf(batches, SCHEMA)(F.col(name)))
 
 
 def to_json_line(match: str = "match"):

@@ -63,3 +63,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     small = rows <= max_rows and size <= max_bytes
     return (F.broadcast(df) if small else df), small
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it has fewer partitions than those, as a table of one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
