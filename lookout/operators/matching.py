@@ -1,8 +1,8 @@
 """Tiered matching of DNS names against a registry, in Arrow batches on workers that hold the registry as an automaton.
 
 One automaton holds every needle: keywords, forms of known domains, exclusion words, context terms. Each form of a name is
-read once; what follows is bookkeeping over the few hits. Edit distance goes through the deletions of the keywords, so no
-name is compared with every keyword.
+read once; what follows is bookkeeping over the few hits. Edit distance goes through the thirds of the keywords in a second
+automaton, so no name is compared with every keyword.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +45,11 @@ def edits(a: str, b: str, most: int) -> int | None:
     return row[-1] if row[-1] <= most else None
 
 
-def shortened(word: str, most: int) -> set[str]:
-    """The word and what up to ``most`` deletions leave."""
-    out = last = {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
-    return out
+def thirds(word: str) -> list[tuple[str, int]]:
+    """Pieces of a word with their starts; one of them stands unchanged in any text at two edits, moved by at most two."""
+    n = FUZZY_MOST_EDITS + 1
+    cuts = [len(word) * i // n for i in range(n + 1)]
+    return [(word[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
 class NameMatcher:
@@ -80,11 +79,11 @@ class NameMatcher:
             skel = (names.normalized(d["name"]) or {"skeleton": d["name"]})["skeleton"]
             for form in {skel, skel.replace(".", "-"), skel.replace(".", "")}:
                 likes.setdefault(form, []).append(d)
-        near: dict[str, list[dict]] = {}
+        near: dict[str, list[tuple[int, dict]]] = {}
         for k in words:
-            if k.get("fuzzy") or k["tier"] == "high":
-                for s in shortened(k["term"], FUZZY_MOST_EDITS):
-                    near.setdefault(s, []).append(k)
+            if (k.get("fuzzy") or k["tier"] == "high") and len(k["term"]) > FUZZY_MOST_EDITS:
+                for piece, start in thirds(k["term"]):
+                    near.setdefault(piece, []).append((start, k))
         suppressing = {n: d["kind"] == "official" for n, d in domains.items() if d.get("suppresses") and d["status"] == "confirmed"}
         context = sorted({c["term"] for c in r.rows("context_terms")})
         needles = {*by_term, *likes, *context, *(x for xs in by_term.values() for x in xs)} - {""}
@@ -102,6 +101,18 @@ class NameMatcher:
         a.make_automaton()
         return a
 
+    @cached_property
+    def _pieces(self):
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for piece, owners in self._tables["near"].items():
+            a.add_word(piece, (len(piece), owners))
+        if not len(a):
+            a.add_word("\x00", (1, []))
+        a.make_automaton()
+        return a
+
     def _spans(self, text: str, memo: dict[str, dict[str, list[Span]]]) -> dict[str, list[Span]]:
         found = memo.get(text)
         if found is None:
@@ -194,7 +205,12 @@ class NameMatcher:
         parts = {p for label in n["skeleton"].split(".") for p in (label.replace("-", ""), *label.split("-")) if max(FUZZY_LEAST_CHARS, shortest) <= len(p) <= longest}
         best: dict[str, tuple] = {}
         for p in parts:
-            offers = {k["term"]: k for s in shortened(p, FUZZY_MOST_EDITS) for k in self._tables["near"].get(s, ())}
+            offers = {}
+            for end, (width, owners) in self._pieces.iter(p):
+                at = end + 1 - width
+                for start, k in owners:
+                    if abs(at - start) <= FUZZY_MOST_EDITS and abs(len(p) - len(k["term"])) <= FUZZY_MOST_EDITS:
+                        offers[k["term"]] = k
             for term, k in offers.items():
                 if term not in taken and (k.get("fuzzy") or not p.isascii()):
                     d = edits(p, term, FUZZY_MOST_EDITS)
@@ -224,17 +240,17 @@ class NameMatcher:
 def match_names(rows: DataFrame, name: str, registry: Registry, out: str = "match") -> DataFrame:
     """Adds the struct ``out`` (SCHEMA); all null for what is no DNS name. Works on batch and streaming frames."""
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    matcher = NameMatcher(registry)
-    columns = [f.name for f in T._parse_datatype_string(SCHEMA).fields]
+    matcher, kind = NameMatcher(registry), to_arrow_type(T._parse_datatype_string(SCHEMA))
+    none = dict.fromkeys(f.name for f in kind)
 
-    def batches(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        none = dict.fromkeys(columns)
-        for s in it:
+    def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for names_ in it:
             known: dict = {}
-            yield pd.DataFrame([known[x] if x in known else known.setdefault(x, matcher.match(x) or none) for x in s], columns=columns)
+            yield pa.array([known[x] if x in known else known.setdefault(x, matcher.match(x) or none) for x in names_.to_pylist()], kind)
 
-    return spread(rows).withColumn(out, F.pandas_udf(batches, SCHEMA)(F.col(name)))
+    return spread(rows).withColumn(out, F.arrow_udf(batches, SCHEMA).asNondeterministic()(F.col(name)))
 
 
 def to_json_line(match: str = "match"):

@@ -106,3 +106,17 @@ def test_bytes():
     assert binary.inflated(zlib.compress(b"abc"), "deflate", 10)[0] == binary.inflated(zlib.compress(b"abc")[2:-4], "deflate", 10)[0] == b"abc"
     assert binary.inflated(b"nonsense", "gzip", 10) == (None, "corrupt") and binary.inflated(b"z", "br", 10) == (b"z", "kept")
     assert binary.text_of(b"\xe9", "latin-1") == "é" and binary.text_of(b"\xff", "no-such") == "�"
+
+
+def test_fuzzy_hits_against_brute_force():
+    import random
+
+    rng, r = random.Random(8), Registry()
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(6, 9))) for _ in range(40)})
+    r.lists["brands"] = [{"id": "b", "status": "confirmed"}]
+    r.lists["keywords"] = [{"brand": "b", "term": t, "tier": "low", "fuzzy": True, "status": "confirmed"} for t in terms]
+    m = NameMatcher(r)
+    for _ in range(300):
+        name = "".join(rng.choice("abc") for _ in range(rng.randint(5, 10)))
+        want = {(t, d) for t in terms if len(name) >= 6 and (d := edits(name, t, 2))}
+        assert {(h["keyword"], h["distance"]) for h in m.match(name + ".x")["hits"] if h["type"] == "fuzzy"} == want
