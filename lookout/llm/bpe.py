@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lookout.session import spread
+
 #: The default vocabulary; its folder is a parameter everywhere.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -279,7 +281,7 @@ def _mapped(docs: DataFrame, text: str, keep: tuple[str, ...], out: str, f, fold
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    kept = spread(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")))
     field = _parse_datatype_string(out).fields[0]
     kind = to_arrow_type(field.dataType)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookout.llm import components, oph
-from lookout.session import broadcast_if_small, materialize
+from lookout.session import broadcast_if_small, materialize, spread
 
 MAX_PHASH, MAX_DHASH, LEAST_SPREAD, MAX_ASPECT = 10, 8, 12.0, 1.35
 #: (first bit, bits) of the blocks.
@@ -68,7 +68,8 @@ def _met(buckets: DataFrame, keys: list[str]) -> DataFrame:
 
 def node_pairs(nodes: DataFrame) -> DataFrame:
     """a, b: all pairs of nodes (node, p, d; each (p, d) once) within both thresholds, a < b, each pair once."""
-    keyed = materialize(nodes.select("node", "p", "d", F.explode(_neighbours(F.col("d"), DHASH_BLOCKS)).alias("key")), "dhash-buckets")
+    # Every node becomes 67 rows here, so nodes that fit into one file are spread first.
+    keyed = materialize(spread(nodes).select("node", "p", "d", F.explode(_neighbours(F.col("d"), DHASH_BLOCKS)).alias("key")), "dhash-buckets")
     crowded = materialize(keyed.groupBy("key").count().where(F.col("count") > CROWDED).select(F.col("key").alias("_hot")), "crowded")
     hot, _ = broadcast_if_small(crowded)
     plain = _met(keyed.join(hot, F.col("key") == F.col("_hot"), "left_anti"), ["key"])

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookout.session import materialize
+from lookout.session import materialize, spread
 
 TERMS = os.path.join(os.path.dirname(__file__), "subject_terms.tsv")
 OTHER = "other"
@@ -138,7 +138,7 @@ def document_hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
                     hits.append([{"words": w, "terms": x} for w, x in h])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(hits, kind)], names=["doc_id", "n_sentences", "hits"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(batches, _HITS)
+    return spread(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(batches, _HITS)
 
 
 def weights(hits: DataFrame, path: str = TERMS) -> list[float]:
