@@ -217,6 +217,11 @@ _HOSTOF = "nullif(lower(regexp_replace(regexp_replace(regexp_extract({u}, '^\\s*
 _BITS = "bit_count(xor(CAST('0x' || {a} AS UBIGINT), CAST('0x' || {b} AS UBIGINT)))"
 
 ORACLE = {
+    "sanitized": r"SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(c) AS INTEGER) AS kept, md5(c) AS digest FROM (SELECT doc_id, text, substr(regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\p{Cc}\p{Cf}\x{2028}\x{2029}]', '', 'g'), 1, 1000000) AS c FROM documents WHERE text IS NOT NULL)",
+    "csv_neutralized": r"SELECT doc_id, CASE WHEN regexp_matches(h, '^([\t\r\n]|[\s\p{Z}]*[=+@-])') THEN chr(39) || h ELSE h END AS cell FROM (SELECT doc_id, coalesce(substr(text, 1, 40), '') AS h FROM documents)",
+    "stable_sample": "SELECT doc_id FROM documents WHERE CAST(CAST('0x' || substr(sha256('sample:' || doc_id), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 < 0.1",
+    "address_classes": """WITH a AS (SELECT unnest(CAST(json_extract(context_json, '$.dns.dns_a') AS VARCHAR[])) AS ip FROM discovery_log WHERE source = 'dnstwist' AND json_valid(context_json))
+SELECT CASE WHEN starts_with(ip, '192.0.2.') OR starts_with(ip, '198.51.100.') OR starts_with(ip, '203.0.113.') THEN 'documentation' END AS class, count(*) AS n, count(DISTINCT ip) AS addresses FROM a GROUP BY 1""",
     "stable_ids": "SELECT doc_id, sha256(coalesce(source, '') || chr(31) || coalesce(site, '') || chr(31) || CAST(doc_id AS VARCHAR)) AS event_id FROM documents",
     "site_rollup": "SELECT site, count(*) AS n, count(DISTINCT source) AS sources, min(captured_at) AS first_at, max(captured_at) AS last_at, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY site HAVING count(*) >= 2",
     "recaptured": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(*) > 1",

@@ -74,6 +74,8 @@ _HOURS = """SELECT date_trunc('hour', received_at) AS hour_start, count(*) AS me
 _HOST = "regexp_replace(regexp_replace(lower(name), '^\\*\\.', ''), '\\.+$', '')"
 
 ORACLE = {
+    "ascii_hosts": r"""WITH b AS (SELECT delivery_id, regexp_replace(regexp_replace(lower(trim(name)), '\.+$', ''), '^\*\.', '') AS h FROM discovery_log WHERE name IS NOT NULL)
+SELECT delivery_id, CASE WHEN regexp_full_match(h, '[a-z0-9_-]{1,63}(\.[a-z0-9_-]{1,63})*') AND length(h) <= 253 AND NOT regexp_full_match(h, '[0-9]+(\.[0-9]+){3}') THEN h END AS host FROM b""",
     "stream_hourly": _HOURS,
     "stream_host_counts": f"""WITH x AS (SELECT msg_id, unnest(data.leaf_cert.all_domains) AS name FROM cert_messages WHERE data IS NOT NULL),
 h AS (SELECT DISTINCT msg_id, {_HOST} AS host FROM x WHERE name IS NOT NULL)
