@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lookout.functions import net, text
 from lookout.operators import observations
+from lookout.session import broadcast_if_small
 from lookout.sources.tables import table
 
 
@@ -25,7 +26,10 @@ def closest_brands(spark, d):
 
 def mention_totals(spark, d):
     """Brand names in documents: documents and occurrences by phrase, longest phrase first, in any case or look-alike letters."""
-    names_ = [r.brand_name for r in table(spark, d, "brand_terms").select("brand_name").where("brand_name is not null").distinct().limit(10_000).collect()]
+    listed, small = broadcast_if_small(table(spark, d, "brand_terms").select("brand_name").where("brand_name is not null").distinct())
+    if not small:
+        raise ValueError("too many brand names for one automaton: use operators.joins.contains_join")
+    names_ = [r.brand_name for r in listed.collect()]
     hits = observations.mentions(table(spark, d, "documents").select("doc_id", "text"), "text", names_)
     flat = hits.select("doc_id", F.explode("mentions").alias("m"))
     return flat.groupBy("m.phrase").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("occurrences"))
