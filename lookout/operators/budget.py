@@ -15,10 +15,30 @@ def admitted(df: DataFrame, keys: Sequence[str], order: Sequence[Column], allowa
     return df.withColumn("place", place).withColumn("admitted", F.col("place") <= allowance - (taken if taken is not None else F.lit(0)))
 
 
-def until_spent(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, budget: int) -> DataFrame:
-    """Rows of each key in order up to the first that would exceed the budget: it and all later rows are dropped."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("_spent", F.sum(F.coalesce(F.col(size), F.lit(0))).over(w)).where(F.col("_spent") <= budget).drop("_spent")
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, out: str, bucket: Column | None = None) -> DataFrame:
+    """Adds the sum of ``size`` (null is 0) up to and with each row of a key.
+
+    ``bucket``, if given, must not decrease in the order: windows then cover a bucket only, and what came before it is the
+    running sum of the earlier buckets' sums, a small table. Keys that hold most rows need one.
+    """
+    value = F.coalesce(F.col(size), F.lit(0))
+    within = lambda *k: Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if bucket is None:
+        return df.withColumn(out, F.sum(value).over(within(*keys)))
+    rows = df.withColumn("_b", bucket)
+    sums = rows.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    earlier = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), earlier.alias("_earlier"))
+    same = F.col("_b").eqNullSafe(F.col("_bb"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = rows.withColumn("_in", F.sum(value).over(within(*keys, "_b"))).join(sums, same)
+    return joined.select(*df.columns, (F.col("_in") + F.col("_earlier")).alias(out))
+
+
+def until_spent(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, budget: int, bucket: Column | None = None) -> DataFrame:
+    """Rows of each key in order up to the first that would exceed the budget: it and all later rows are dropped (sizes >= 0)."""
+    return running_sum(df, keys, order, size, "_spent", bucket).where(F.col("_spent") <= budget).drop("_spent")
 
 
 def skipping(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:

@@ -60,19 +60,35 @@ def last_all(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return recent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bool_and("_met").alias("_all")).where((F.col("_n") == n) & F.col("_all")).select(*keys)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool = False, bucket_seconds: int | None = None) -> DataFrame:
     """Backward as-of join: every left row with the right values at the latest right time not after (strict: before) its own.
 
     One shuffle of the union on the keys and one sort replace a range join; no pair is formed. Ties in right_time: the
-    largest struct of values. Null keys or times match nothing.
+    largest struct of values. Null keys or times match nothing. With ``bucket_seconds`` (times must be timestamps), a
+    key's rows are cut into buckets of time, and what earlier buckets last held is carried: for keys that hold most rows.
     """
-    l = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(*values)).schema.fields[0].dataType).alias("_v"))
-    r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_time).alias("_t"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema.fields[0].dataType).alias("_row"), F.struct(*values).alias("_v")).where("_t is not null")
-    side = F.when(F.col("_row").isNull(), F.lit(1 if strict else 0)).otherwise(F.lit(0 if strict else 1))
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.col("_t").asc_nulls_first(), side, F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = F.last("_v", ignorenulls=True).over(w)
+    value_type = right.select(F.struct(*values)).schema.fields[0].dataType
+    row_type = left.select(F.struct(*left.columns)).schema.fields[0].dataType
+    names = [f"_k{i}" for i in range(len(keys))]
+
+    def side(df: DataFrame, time: str, row: Column, value: Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(time).alias("_t"), row.alias("_row"), value.alias("_v"))
+
+    both = side(left, left_time, F.struct(*left.columns), F.lit(None).cast(value_type)).unionByName(side(right, right_time, F.lit(None).cast(row_type), F.struct(*values)).where("_t is not null"))
+    bucket = F.floor(F.unix_micros("_t") / (bucket_seconds * 1_000_000)) if bucket_seconds else F.lit(0)
+    both = both.withColumn("_b", bucket)
+    first = F.when(F.col("_row").isNull(), F.lit(1 if strict else 0)).otherwise(F.lit(0 if strict else 1))
+    w = Window.partitionBy(*names, "_b").orderBy(F.col("_t").asc_nulls_first(), first, F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = both.withColumn("_found", F.last("_v", ignorenulls=True).over(w)).where("_row is not null")
+    if bucket_seconds:
+        ends = both.groupBy(*names, "_b").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v")))["_v"].alias("_end"))
+        carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select(*[F.col(n).alias(f"_e{n}") for n in names], F.col("_b").alias("_eb"), carried.alias("_carried"))
+        same = F.col("_b") == F.col("_eb")
+        for n in names:
+            same = same & (F.col(n) == F.col(f"_e{n}"))
+        filled = filled.join(ends, same, "left").withColumn("_found", F.coalesce("_found", "_carried"))
     usable = F.col("_t").isNotNull()
-    for i in range(len(keys)):
-        usable = usable & F.col(f"_k{i}").isNotNull()
-    filled = l.unionByName(r).withColumn("_found", F.when(usable, known)).where("_row is not null")
-    return filled.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+    for n in names:
+        usable = usable & F.col(n).isNotNull()
+    return filled.withColumn("_found", F.when(usable, F.col("_found"))).select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lookout.functions import text
@@ -121,8 +120,8 @@ def corpus_revalidated(spark, d):
 def corpus_retired(spark, d):
     """Entries of pages whose later collection doesn't hold the same image any more."""
     c = table(spark, d, "reference_corpus").where("reference_page is not null and collected_at is not null")
-    last = F.max(F.date_trunc("hour", "collected_at")).over(Window.partitionBy("reference_page"))
-    marked = c.withColumn("h", F.date_trunc("hour", "collected_at")).withColumn("last", last)
+    hour = F.date_trunc("hour", "collected_at")
+    marked = c.withColumn("h", hour).join(c.groupBy("reference_page").agg(F.max(hour).alias("last")), "reference_page")
     return merge.retired(marked, marked.where("h = last"), ["reference_page", "sha256"], F.col("h") < F.col("last")).select("id", "reference_page")
 
 
@@ -198,9 +197,9 @@ def list_caps(spark, d):
 
 
 def corpus_digest(spark, d):
-    """A digest of the set of active images per brand."""
-    c = table(spark, d, "reference_corpus").where("active and sha256 is not null and brand is not null")
-    return c.groupBy("brand").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.lower("sha256"))), ","), 256).alias("digest"))
+    """A digest of the set of active images per brand: the exclusive or of the first 60 bits of their hashes merges in any order."""
+    c = table(spark, d, "reference_corpus").where("active and sha256 is not null and brand is not null").select("brand", F.lower("sha256").alias("sha")).distinct()
+    return c.groupBy("brand").agg(F.count(F.lit(1)).alias("images"), F.bit_xor(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")).alias("digest"))
 
 
 QUERIES = {
@@ -255,5 +254,5 @@ p AS (SELECT label, brand, phrase, CAST(levenshtein(label, phrase) AS INTEGER) A
 SELECT label, brand, phrase, distance FROM (SELECT *, row_number() OVER (PARTITION BY label, brand ORDER BY distance, phrase) AS rn FROM p WHERE distance BETWEEN 1 AND 2) WHERE rn = 1""",
     "brand_mentions": "WITH b AS (SELECT DISTINCT brand, brand_name FROM brand_terms WHERE brand_name IS NOT NULL) SELECT doc_id, brand, CAST((length(text) - length(replace(text, brand_name, ''))) // length(brand_name) AS INTEGER) AS mentions FROM documents JOIN b ON contains(text, brand_name)",
     "list_caps": "SELECT site, array_to_string(list_slice(list(source ORDER BY seen), 1, 3), ',') AS sources FROM (SELECT site, source, min(doc_id) AS seen FROM documents WHERE site IS NOT NULL AND source IS NOT NULL GROUP BY ALL) GROUP BY site",
-    "corpus_digest": "SELECT brand, sha256(string_agg(DISTINCT lower(sha256), ',' ORDER BY lower(sha256))) AS digest FROM reference_corpus WHERE active AND sha256 IS NOT NULL AND brand IS NOT NULL GROUP BY brand",
+    "corpus_digest": "SELECT brand, count(*) AS images, bit_xor(CAST('0x' || substr(sha, 1, 15) AS BIGINT)) AS digest FROM (SELECT DISTINCT brand, lower(sha256) AS sha FROM reference_corpus WHERE active AND sha256 IS NOT NULL AND brand IS NOT NULL) GROUP BY brand",
 }

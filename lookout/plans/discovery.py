@@ -195,7 +195,7 @@ def as_of_replay(spark, d):
     """For every delivery the latest replay run of its segment that started before it was logged."""
     runs = table(spark, d, "replay_runs").select("segment", "started_at", "run_id")
     log = table(spark, d, "discovery_log").select("delivery_id", "segment", (F.col("logged_at") + F.expr("INTERVAL 30 MINUTES")).alias("at"))
-    return latest.as_of(log, runs, ["segment"], "at", "started_at", ["run_id"]).select("delivery_id", "run_id")
+    return latest.as_of(log, runs, ["segment"], "at", "started_at", ["run_id"], bucket_seconds=600).select("delivery_id", "run_id")
 
 
 def segment_retention(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lookout.operators import budget, latest, merge
@@ -68,12 +67,13 @@ def idle_snapshot(spark, d):
 def claim_order(spark, d, running_cap=2):
     """Due rows in the order in which they would be claimed, under a cap of running rows per group: class, the group served least lately, time, id."""
     rows = _jobs(spark, d).withColumn("k", F.coalesce(effective_group(F.col("group_key"), F.col("payload_json")), F.lit("")))
-    group = Window.partitionBy("stage", "k")
-    served = F.max(F.when(F.col("status") != "pending", F.col("updated_at"))).over(group)
-    marked = rows.withColumn("served", served).withColumn("running", F.count_if(F.col("status") == "running").over(group))
-    due = marked.where((F.col("status") == "pending") & (F.col("available_at") <= _now()))
     rank = F.when(F.col("queue_class") == "strong", 0).otherwise(1)
-    due = budget.admitted(due.withColumn("rank", rank), ["stage", "k"], [F.col("rank"), F.col("available_at"), F.col("id")], F.lit(running_cap), F.col("running")).where("admitted")
+    due = rows.where((F.col("status") == "pending") & (F.col("available_at") <= _now())).withColumn("rank", rank)
+    # At most the cap of a group can be claimed: the top rows are cut before the shuffle, whatever the group holds.
+    due = latest.top_per_key(due, ["stage", "k"], [F.col("rank"), F.col("available_at"), F.col("id")], running_cap, "place")
+    served = F.max(F.when(F.col("status") != "pending", F.col("updated_at"))).alias("served")
+    groups = rows.groupBy(F.col("stage").alias("_stage"), F.col("k").alias("_k")).agg(served, F.count_if(F.col("status") == "running").alias("running"))
+    due = due.join(groups, (F.col("stage") == F.col("_stage")) & (F.col("k") == F.col("_k"))).where(F.col("place") <= F.lit(running_cap) - F.col("running"))
     return due.select("stage", "k", "id", "rank", "served").orderBy("rank", F.col("served").asc_nulls_first(), "available_at", "id")
 
 
@@ -155,7 +155,7 @@ def trailing_day_jobs(spark, d):
 def open_attempt_budget(spark, d):
     """Jobs of each stage in order of creation until their attempts add up to 500: a budget that stops."""
     rows = _jobs(spark, d).select("stage", "id", "created_at", "attempts")
-    return budget.until_spent(rows, ["stage"], [F.col("created_at"), F.col("id")], "attempts", 500).select("stage", "id")
+    return budget.until_spent(rows, ["stage"], [F.col("created_at"), F.col("id")], "attempts", 500, F.date_trunc("minute", "created_at")).select("stage", "id")
 
 
 QUERIES = {

@@ -161,6 +161,11 @@ def test_as_of(spark):
     left = spark.createDataFrame([("k", 5, 1), ("k", 1, 2), ("k", 7, 3), (None, 5, 4), ("k", None, 5), ("z", 5, 6)], "k string, t int, v int")
     right = spark.createDataFrame([("k", 5, 50), ("k", 3, 30), ("k", 5, 51), (None, 1, 1), ("k", None, 9)], "k string, at int, w int")
     assert {r.v: r.w for r in latest.as_of(left, right, ["k"], "t", "at", ["w"]).collect()} == {1: 51, 2: None, 3: 51, 4: None, 5: None, 6: None}
+    stamp = lambda df, c: df.withColumn(c, F.timestamp_seconds(F.col(c)))
+    for width in (1, 3, 1000):
+        for strict, k5 in ((False, 51), (True, 30)):
+            got = latest.as_of(stamp(left, "t"), stamp(right, "at"), ["k"], "t", "at", ["w"], strict, width)
+            assert {r.v: r.w for r in got.collect()} == {1: k5, 2: None, 3: 51, 4: None, 5: None, 6: None}
     assert {r.v: r.w for r in latest.as_of(left, right, ["k"], "t", "at", ["w"], strict=True).collect()} == {1: 30, 2: None, 3: 51, 4: None, 5: None, 6: None}
 
 
@@ -182,6 +187,15 @@ def test_gaps_over_buckets(spark):
     assert got == sorted(float(b - a) for a, b in zip(times, times[1:]) if b - a > 700)
 
 
+def test_running_sum_over_buckets(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 30])) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, k string, s int")
+    want = {i: sum(s or 0 for j, q, s in rows if q == k and j <= i) for i, k, _ in rows}
+    for bucket in (None, F.floor(F.col("i") / 7)):
+        assert {r.i: r.t for r in budget.running_sum(df, ["k"], [F.col("i")], "s", "t", bucket).collect()} == want
+
+
 def test_skipping_budget(spark):
     rows = [("a", 1, 60), ("a", 2, 50), ("a", 3, 40), ("a", 4, 1), ("b", 1, 101), ("b", 2, 100), ("b", 3, None), (None, 1, 5)]
     got = {(r.k, r.o): r.accepted for r in budget.skipping(spark.createDataFrame(rows, "k string, o int, s int"), ["k"], ["o"], "s", 100).collect()}
