@@ -98,8 +98,8 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     Values that are null or hold nothing that shows have no row.
     """
     spark = values.sparkSession
-    read = read_values(values.where("raw is not null").distinct()).withColumn("mapped", mapped(F.col("text"))).where("mapped <> ''")
-    read = materialize(read, "lookalike-values")
+    distinct = materialize(values.where("raw is not null").distinct(), "lookalike-raw")
+    read = materialize(read_values(distinct).withColumn("mapped", mapped(F.col("text"))), "lookalike-values").where("mapped <> ''")
     return spark.sql(
         f"""
         WITH classes AS (
