@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,11 +36,16 @@ FULL_WORDS = 24
 
 _BROKEN = regex.compile(r"[ÂÃâÅ][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™]{1,2}")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Cc}--[\t\n\r]]", regex.V1)
-_DIGIT_IN_WORD = regex.compile(r"(?<=\p{L})[01](?=\p{L})|(?<![\p{L}\p{N}])0(?=\p{L})|(?<![\p{L}\p{N}])1(?=\p{L}{2})|(?<=\p{L}{2})[01](?![\p{L}\p{N}])")
-_LEGIBLE = regex.compile(r"[\p{L}\p{N}]")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_DIGIT_IN_WORD = re.compile(
+    r"[01](?:(?<=[^\W\d_][01])(?=[^\W\d_])|(?<=0)(?<![^\W_]0)(?=[^\W\d_])|(?<=1)(?<![^\W_]1)(?=[^\W\d_]{2})|(?<=[^\W\d_]{2}[01])(?![^\W_]))"
+)
+_LEGIBLE = re.compile(r"[^\W_]")
+_WORD = re.compile(r"[^\W_]+")
 #: Sentences end at line ends, at end marks with closing quotes before white space, and after a row of links with bars.
-_END = regex.compile(r"[\r\n\u2028\u2029]+|(?<=[.!?…][\"”“’'»)]{0,2})\s+|(?<=\| \S+\.\S+)\s+(?!\|)")
+_MARK = re.compile("([.!?…][\"”“’'»)]{0,2})\\s+")
+_LINES = re.compile(r"[\r\n\u2028\u2029]+")
+#: The links' end begins at a bar, so that this, the slower pattern, has few places to try.
+_BARS = re.compile(r"(\| \S+\.\S+)\s+(?!\|)")
 #: A question answered by a fragment is one sentence.
 _ANSWER = regex.compile(r"(?<=\?)\s+(?=About \d)", regex.IGNORECASE)
 
@@ -60,8 +67,12 @@ def plain(text: str) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    joined = _ANSWER.sub("\x00", text)
-    return [s.replace("\x00", " ") for s in _END.split(joined) if _LEGIBLE.search(s)]
+    """The sentences of a text that hold a letter or digit. What goes before a row of links' end is only sought where there are bars."""
+    if "?" in text:
+        text = _ANSWER.sub("\x00", text)
+    if "|" in text:
+        text = _BARS.sub("\\1\n", text)
+    return [s.replace("\x00", " ") for s in _LINES.split(_MARK.sub("\\1\n", text)) if _LEGIBLE.search(s)]
 
 
 @cache
@@ -88,15 +99,21 @@ def term_hits(text: str | None, path: str = TERMS) -> tuple[int, list[tuple[int,
     """The number of sentences, and of each that holds terms its number of words and the terms' numbers."""
     if not text or not _LEGIBLE.search(text):
         return 0, []
-    a, all_, found = automaton(path), sentences(text), []
-    for s in all_:
-        words = _WORD.findall(plain(s))
-        spans = [(end - n + 1, end, numbers) for end, (n, numbers) in a.iter(f" {' '.join(words)} ")]
+    lines = [" ".join(_WORD.findall(x)) for x in sentences(plain(text))]
+    # All sentences at once, each between blanks and a line end, which no term holds.
+    joined, ends, at = " " + " \n ".join(lines) + " ", [], 0
+    for x in lines:
+        at += len(x) + 3
+        ends.append(at)
+    by_sentence: dict[int, list] = {}
+    for end, (n, numbers) in automaton(path).iter(joined):
+        by_sentence.setdefault(bisect_right(ends, end - n + 1), []).append((end - n + 1, end, numbers))
+    found = []
+    for k, spans in sorted(by_sentence.items()):
         # A term within a longer one says nothing of its own: the timetable of "exam timetable" is no journey's.
-        hits = sorted({i for start, end, numbers in spans if not any(x <= start and end <= y and y - x > end - start for x, y, _ in spans) for i in numbers})
-        if hits:
-            found.append((len(words), hits))
-    return len(all_), found
+        hits = {i for start, end, numbers in spans if not any(x <= start and end <= y and y - x > end - start for x, y, _ in spans) for i in numbers}
+        found.append((lines[k].count(" ") + 1, sorted(hits)))
+    return len(lines), found
 
 
 def rarity(df: int, docs: int) -> float:
