@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lookout.functions.text import hash_bits
 from lookout.llm import components, oph
 from lookout.session import broadcast_if_small, materialize, spread
 
@@ -27,12 +28,6 @@ PHASH_BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
 CROWDED = 500
 
 
-def hash_bits(col: Column) -> Column:
-    """A 64-bit hash in hex of either case as a long, leading zeros or not; null if it isn't one."""
-    bare = F.lower(F.trim(col))
-    return F.when(bare.rlike(r"\A[0-9a-f]{1,16}\z"), F.conv(F.lpad(bare, 16, "0"), 16, -10).cast("long"))
-
-
 def prepared(corpus: DataFrame) -> DataFrame:
     """id, sha (lower case), p, d, aspect; the last three null unless the image is measurable. Rows without id are left out."""
     ok = (F.col("luma_stddev") >= LEAST_SPREAD) & ~F.isnan("luma_stddev") & (F.col("width") > 0) & (F.col("height") > 0)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookout.session import broadcast_if_small
@@ -102,6 +103,54 @@ def fuzzy_join(left: DataFrame, word: str, right: DataFrame, term: str, most: in
     return near.dropDuplicates(["_row", "_rrow"]).select(*left.columns, "right", "distance")
 
 
+def nearest_hashes(left: DataFrame, right: DataFrame, n: int, most_aspect: float, left_block: int = 2_000, right_block: int = 8_192) -> DataFrame:
+    """left_id, right_id, bits: for every left row the n right ones of another id with fewest differing bits, then least id.
+
+    Both sides have id (unique), p, d (64 bits each, as longs) and aspect, none null; aspects may differ by a factor of
+    ``most_aspect``. Any distance counts, so all pairs are looked at: every block of one side meets every block of the
+    other, and only the best n of a row leave a block.
+    """
+    from math import ceil
+
+    spark = left.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    lefts, rights = max(1, ceil(left.count() / left_block)), max(cores, ceil(right.count() / right_block))
+    tasks = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def blocks(df: DataFrame, own: str, of: int, other: str, others: int) -> DataFrame:
+        placed = df.select("id", "p", "d", "aspect", F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(own))
+        # With a number of partitions: the blocks are few bytes but much work, so they mustn't be coalesced.
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).repartition(tasks, "lb", "rb")
+
+    pairs = blocks(left, "lb", lefts, "rb", rights).groupBy("lb", "rb").cogroup(blocks(right, "rb", rights, "lb", lefts).groupBy("lb", "rb"))
+    found = pairs.applyInArrow(_nearest_in_block(n, most_aspect), "left_id long, right_id long, bits int")
+    w = Window.partitionBy("left_id").orderBy("bits", "right_id")
+    return found.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+
+
+def _nearest_in_block(n: int, most_aspect: float):
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        import numpy as np
+
+        a, b = ({c: t[c].to_numpy() for c in ("id", "p", "d", "aspect")} for t in (left, right.sort_by("id")))
+        ids, entries, bits = [], [], []
+        for at in range(0, len(a["id"]) if len(b["id"]) else 0, 256):
+            row = {c: v[at : at + 256, None] for c, v in a.items()}
+            far = sum(np.bitwise_count(row[c].view(np.uint64) ^ b[c].view(np.uint64)).astype(np.int64) for c in "pd")
+            ok = (row["id"] != b["id"]) & (np.maximum(row["aspect"], b["aspect"]) <= np.minimum(row["aspect"], b["aspect"]) * most_aspect)
+            # Bits, then place by id, in one number; pairs that don't count come after all others.
+            order = np.where(ok, far, 1_000) * len(b["id"]) + np.arange(len(b["id"]))
+            best = np.argpartition(order, min(n, order.shape[1]) - 1, axis=1)[:, :n]
+            used = np.take_along_axis(ok, best, 1)
+            ids.append(np.broadcast_to(row["id"], best.shape)[used])
+            entries.append(b["id"][best][used])
+            bits.append(np.take_along_axis(far, best, 1)[used])
+        whole = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return pa.table({"left_id": whole(ids, pa.int64()), "right_id": whole(entries, pa.int64()), "bits": whole(bits, pa.int32())})
+
+    return find
+
+
 def either_join(left: DataFrame, key: str, edges: DataFrame, a: str, b: str) -> DataFrame:
     """left x edges with an endpoint equal to the key: two equi-joins instead of a join on OR; an edge counts once."""
     e = edges.select(F.struct(*edges.columns).alias("right"), F.array_distinct(F.array(a, b)).alias("_ends"))

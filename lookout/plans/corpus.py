@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lookout.functions import text
 from lookout.operators import joins, latest, merge
+from lookout.session import materialize
 from lookout.sources.tables import table
 
 
@@ -132,13 +133,24 @@ def shared_sizes(spark, d):
 
 
 def closest_references(spark, d):
-    """For entries whose id is divisible by 50 the five closest measurable ones: fewest differing bits, then id."""
-    c = table(spark, d, "reference_corpus").where("length(phash) = 16 and length(dhash) = 16 and luma_stddev >= 12 and active")
-    q = c.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("brand"), F.col("phash").alias("qp"), F.col("dhash").alias("qd"))
-    # Queries against entries of the same brand: an equi-join, skewed brands split by AQE.
-    pairs = q.join(c.select("brand", F.col("id").alias("entry"), "phash", "dhash"), "brand").where("query <> entry")
-    bits = text.hamming(F.col("qp"), F.col("phash")) + text.hamming(F.col("qd"), F.col("dhash"))
-    return latest.top_per_key(pairs.withColumn("bits", bits), ["query"], [F.col("bits"), F.col("entry")], 5, "place").select("query", "place", "entry", "bits")
+    """For entries whose id is divisible by 50 the five closest active ones of all brands: equal sha256 first, then fewest differing bits, then id.
+
+    Images of other bytes compare only if both are measurable (luma_stddev, sizes, both hashes) and their aspects close, as
+    in the reference; bits is null where the bytes are equal and a hash is missing.
+    """
+    measurable = (F.col("luma_stddev") >= 12) & ~F.isnan("luma_stddev") & (F.col("width") > 0) & (F.col("height") > 0) & F.col("p").isNotNull() & F.col("d").isNotNull()
+    c = table(spark, d, "reference_corpus").where("id is not null").select(
+        F.col("id").cast("long").alias("id"), F.nullif(F.lower(F.trim("sha256")), F.lit("")).alias("sha"), text.hash_bits(F.col("phash")).alias("p"), text.hash_bits(F.col("dhash")).alias("d"), "luma_stddev", "width", "height", F.coalesce("active", F.lit(False)).alias("active"),
+    )
+    c = materialize(c.select("id", "sha", "p", "d", F.when(measurable, F.col("width") / F.col("height")).alias("aspect"), "active"), "references")
+    q, e = c.where("id % 50 = 0"), c.where("active")
+    near = joins.nearest_hashes(q.where("aspect is not null"), e.where("aspect is not null"), 5, 1.35).select(F.col("left_id").alias("query"), F.col("right_id").alias("entry"), F.lit(1).alias("other"), "bits")
+    bits = F.bit_count(F.col("p").bitwiseXOR(F.col("_p"))) + F.bit_count(F.col("d").bitwiseXOR(F.col("_d")))
+    same = q.join(e.select(F.col("id").alias("entry"), F.col("sha").alias("_sha"), F.col("p").alias("_p"), F.col("d").alias("_d")), (F.col("sha") == F.col("_sha")) & (F.col("id") != F.col("entry")))
+    same = latest.top_per_key(same.select(F.col("id").alias("query"), "entry", F.lit(0).alias("other"), bits.cast("int").alias("bits")), ["query"], [F.col("bits").asc_nulls_last(), F.col("entry")], 5)
+    # A copy may be among the nearest too: it counts once.
+    pairs = latest.latest_by(same.unionByName(near), ["query", "entry"], [F.col("other")])
+    return latest.top_per_key(pairs, ["query"], [F.col("other"), F.col("bits").asc_nulls_last(), F.col("entry")], 5, "place").select("query", "place", "entry", "bits")
 
 
 def page_hosts(spark, d):
