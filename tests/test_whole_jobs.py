@@ -43,3 +43,10 @@ def test_closest_references(spark, tmp_path):
                 found.append((1, False, distance(q, e), e[0]))
         expected += [(q[0], n, e, None if none else bits) for n, (_, none, bits, e) in enumerate(sorted(found)[:5], 1)]
     assert sorted(map(tuple, got)) == expected and len(expected) > 20
+
+
+def test_csv_neutralized(spark, tmp_path):
+    long = "word " * 600 + "=end"
+    docs = spark.createDataFrame([(1, long), (2, "=" + long), (3, "　 @" + long), (4, None), (5, "a=b")], "doc_id long, text string")
+    got = dict(map(tuple, run(spark, tmp_path, "csv_neutralized", documents=docs)))
+    assert got == {1: long, 2: "'=" + long, 3: "'　 @" + long, 4: "", 5: "a=b"}
