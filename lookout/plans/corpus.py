@@ -176,10 +176,17 @@ def phrase_contained(spark, d):
 
 
 def phrase_fuzzy(spark, d):
-    """Distinct first labels without hyphens one or two edits from a strong ASCII phrase; the best per label and brand."""
-    label = F.regexp_replace(F.regexp_extract(F.lower("name"), r"\A(?:\*\.)?([^.]*)", 1), "-", "")
-    labels = table(spark, d, "discovery_log").select(label.alias("label")).where(r"length(label) between 8 and 24 and label rlike '\\A[a-z0-9]+\\z'").distinct()
-    terms = table(spark, d, "brand_terms").select(F.lower(F.regexp_replace("phrase", r"[ \-]", "")).alias("phrase"), "brand").where(r"length(phrase) between 8 and 24 and phrase rlike '\\A[a-z]+\\z'").distinct()
+    """Distinct first labels without hyphens, and hyphen parts of them, one or two edits from a phrase; the best per label and brand.
+
+    As in the reference, labels and parts count from 6 characters, in any script and of any length.
+    """
+    label = F.regexp_extract(F.lower("name"), r"\A(?:\*\.)?([^.]*)", 1)
+    words = F.array_append(F.split(label, "-"), F.regexp_replace(label, "-", ""))
+    labels = table(spark, d, "discovery_log").where("name is not null").select(label.alias("l"), words.alias("w")).distinct().select(F.explode("w").alias("label")).where("length(label) >= 6").distinct()
+    terms = table(spark, d, "brand_terms").select(F.lower(F.regexp_replace("phrase", r"[ \-]", "")).alias("phrase"), "brand").where("phrase is not null").distinct()
+    # Nothing is lost: two edits change a length by two at most.
+    sizes = terms.select(F.explode(F.sequence(F.length("phrase") - 2, F.length("phrase") + 2)).alias("_n")).distinct()
+    labels = labels.join(F.broadcast(sizes), F.length("label") == F.col("_n"), "left_semi")
     near = joins.fuzzy_join(labels, "label", terms, "phrase").where("distance > 0").select("label", F.col("right.brand").alias("brand"), F.col("right.phrase").alias("phrase"), "distance")
     return latest.latest_by(near, ["label", "brand"], [F.col("distance"), F.col("phrase")])
 

@@ -50,3 +50,27 @@ def test_csv_neutralized(spark, tmp_path):
     docs = spark.createDataFrame([(1, long), (2, "=" + long), (3, "　 @" + long), (4, None), (5, "a=b")], "doc_id long, text string")
     got = dict(map(tuple, run(spark, tmp_path, "csv_neutralized", documents=docs)))
     assert got == {1: long, 2: "'=" + long, 3: "'　 @" + long, 4: "", 5: "a=b"}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_phrase_fuzzy(spark, tmp_path):
+    phrases = [("Quil Bank", "q"), ("quilbanks", "q"), ("quilkasorà", "k"), ("marberilo springs and kitchen house", "m"), ("zem0", "z"), ("harbor 24", "h"), (None, "n")]
+    names = ["quilbamk.example", "my-quilbnk-online.test", "QUILKASORA.example", "*.quilkaşorà.test", "xmarberilospringsandkitchenhouse.test", "marberilo-springs-and-kitchen-hous.test", "azem0x.test", "zemo.test", "a-harbro24.test", "quilbank.test", "unrelated-name.test", None]
+    terms = spark.createDataFrame(phrases, "phrase string, brand string")
+    got = run(spark, tmp_path, "phrase_fuzzy", brand_terms=terms, discovery_log=spark.createDataFrame([(n,) for n in names], "name string"))
+    words = {w for n in names if n for label in [n.lower().removeprefix("*.").split(".")[0]] for w in (label.replace("-", ""), *label.split("-")) if len(w) >= 6}
+    best = {}
+    for w in words:
+        for p, b in phrases:
+            p = p and p.lower().replace(" ", "").replace("-", "")
+            if p and 0 < (n := edits(w, p)) <= 2:
+                best[w, b] = min(best.get((w, b), (9, "")), (n, p))
+    assert {(r.label, r.brand): (r.distance, r.phrase) for r in got} == best and len(got) == len(best) >= 8
