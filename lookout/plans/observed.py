@@ -18,9 +18,9 @@ def capture_changes(spark, d):
 
 
 def closest_brands(spark, d):
-    """The three brand ids closest to the first label of manual names by edit distance."""
+    """The three brand ids closest to every distinct first label of all deliveries by edit distance; names without one have none."""
     label = F.regexp_extract(F.lower("name"), r"\A(?:\*\.)?([^.]*)", 1)
-    words = table(spark, d, "discovery_log").where("source = 'manual'").select(label.alias("label")).where(r"label rlike '\\A[a-z0-9-]+\\z'")
+    words = table(spark, d, "discovery_log").select(label.alias("label")).where("label <> ''")
     return observations.closest(words, "label", table(spark, d, "brand_terms"), "brand", 3)
 
 

@@ -74,3 +74,12 @@ def test_phrase_fuzzy(spark, tmp_path):
             if p and 0 < (n := edits(w, p)) <= 2:
                 best[w, b] = min(best.get((w, b), (9, "")), (n, p))
     assert {(r.label, r.brand): (r.distance, r.phrase) for r in got} == best and len(got) == len(best) >= 8
+
+
+def test_closest_brands(spark, tmp_path):
+    brands = ["quil-bank", "zem-field", "lum-trust", "quil-banc", None]
+    log = [("manual", "quilbank.test"), ("certstream", "*.QUIL-bänk.example"), ("dnstwist", "xn--zemfeld-abc.test"), ("certstream", "лум-trust"), (None, "a_b.test"), ("certstream", "zem-field.test"), ("certstream", "zem-field.example"), ("manual", None), ("manual", ".")]
+    got = run(spark, tmp_path, "closest_brands", brand_terms=spark.createDataFrame([(b,) for b in brands], "brand string"), discovery_log=spark.createDataFrame(log, "source string, name string"))
+    words = {n.lower().removeprefix("*.").split(".")[0] for _, n in log if n and n != "."}
+    expected = [(w, i, b, n) for w in words for i, (n, b) in enumerate(sorted((edits(w, b), b) for b in brands if b)[:3], 1)]
+    assert sorted(map(tuple, got)) == sorted(expected) and len(expected) == 18
