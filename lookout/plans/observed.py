@@ -30,7 +30,7 @@ def mention_totals(spark, d):
     if not small:
         raise ValueError("too many brand names for one automaton: use operators.joins.contains_join")
     names_ = [r.brand_name for r in listed.collect()]
-    hits = observations.mentions(table(spark, d, "documents").select("doc_id", "text"), "text", names_)
+    hits = observations.mentions(table(spark, d, "documents").select("doc_id", "text"), "text", names_, most=None)
     flat = hits.select("doc_id", F.explode("mentions").alias("m"))
     return flat.groupBy("m.phrase").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("occurrences"))
 

@@ -83,3 +83,10 @@ def test_closest_brands(spark, tmp_path):
     words = {n.lower().removeprefix("*.").split(".")[0] for _, n in log if n and n != "."}
     expected = [(w, i, b, n) for w in words for i, (n, b) in enumerate(sorted((edits(w, b), b) for b in brands if b)[:3], 1)]
     assert sorted(map(tuple, got)) == sorted(expected) and len(expected) == 18
+
+
+def test_mention_totals(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Quil Bank, " * 700 + "and Zem Field"), (2, "quil bank"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("Quil Bank",), ("Zem Field",), ("Lum Trust",)], "brand_name string")
+    got = run(spark, tmp_path, "mention_totals", documents=docs, brand_terms=terms)
+    assert sorted(map(tuple, got)) == [("Quil Bank", 2, 701), ("Zem Field", 1, 1)]
