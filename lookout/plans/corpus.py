@@ -100,7 +100,8 @@ def repeated_phrases(spark, d):
 
 
 def brands_without_references(spark, d):
-    used = table(spark, d, "reference_corpus").where("brand is not null and kind = 'favicon' and width = 32").select("brand").distinct()
+    """Brands of terms that no row of the corpus names, of whatever kind and size."""
+    used = table(spark, d, "reference_corpus").where("brand is not null").select("brand").distinct()
     return table(spark, d, "brand_terms").select("brand").distinct().join(used, "brand", "left_anti")
 
 

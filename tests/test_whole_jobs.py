@@ -90,3 +90,9 @@ def test_mention_totals(spark, tmp_path):
     terms = spark.createDataFrame([("Quil Bank",), ("Zem Field",), ("Lum Trust",)], "brand_name string")
     got = run(spark, tmp_path, "mention_totals", documents=docs, brand_terms=terms)
     assert sorted(map(tuple, got)) == [("Quil Bank", 2, 701), ("Zem Field", 1, 1)]
+
+
+def test_brands_without_references(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", "favicon", 32), ("b", "logo", 200), ("c", "favicon", 16), ("d", "qr", None), (None, "favicon", 32)], "brand string, kind string, width int")
+    got = run(spark, tmp_path, "brands_without_references", reference_corpus=corpus, brand_terms=spark.createDataFrame([(b,) for b in "aabcde"], "brand string"))
+    assert [r.brand for r in got] == ["e"]
