@@ -96,3 +96,10 @@ def test_brands_without_references(spark, tmp_path):
     corpus = spark.createDataFrame([("a", "favicon", 32), ("b", "logo", 200), ("c", "favicon", 16), ("d", "qr", None), (None, "favicon", 32)], "brand string, kind string, width int")
     got = run(spark, tmp_path, "brands_without_references", reference_corpus=corpus, brand_terms=spark.createDataFrame([(b,) for b in "aabcde"], "brand string"))
     assert [r.brand for r in got] == ["e"]
+
+
+def test_trailing_day_jobs(spark, tmp_path):
+    rows = [("fetch", "2023-01-03 05:00:00", "2023-01-06 00:00:00"), ("fetch", "2023-01-02 05:00:01", "2023-01-02 06:00:00"), ("fetch", "2023-01-02 05:00:00", None), ("media", "2023-01-02 20:00:00", None), ("extract", "2023-01-01 01:00:00", None), ("fetch", None, None)]
+    jobs = spark.createDataFrame(rows, "stage string, c string, u string").selectExpr("stage", "timestamp(c) AS created_at", "timestamp(u) AS updated_at")
+    got = run(spark, tmp_path, "trailing_day_jobs", job_rows=jobs)
+    assert sorted(map(tuple, got)) == [("fetch", 2), ("media", 1)]
