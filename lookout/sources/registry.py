@@ -68,14 +68,14 @@ def load(path: str, overlay: str | None = None) -> Registry:
 
 
 def from_terms(terms: DataFrame, most: int = 100_000) -> Registry:
-    """A registry of a brand_terms table: strong phrases are high-tier keywords, weak ones low; letters and digits only."""
+    """A registry of a brand_terms table: strong phrases are high-tier keywords, weak ones low; letters and digits only, of any length."""
     rows = terms.select("brand", "brand_name", "phrase", "strength").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} terms: use the joins of lookout.operators.joins instead of a matcher on workers")
     out, seen = Registry(), set()
     for r in sorted(rows, key=str):
         term = "".join(c for c in names.skeleton(r.phrase or "") if c.isalnum())
-        if len(term) >= 4 and (r.brand, term) not in seen:
+        if term and (r.brand, term) not in seen:
             seen.add((r.brand, term))
             out.lists["keywords"].append({"brand": r.brand, "term": term, "tier": "high" if r.strength == "strong" else "low", "fuzzy": r.strength == "strong", "status": "confirmed"})
     out.lists["brands"] = [{"id": b, "name": b, "status": "confirmed"} for b in sorted({r.brand for r in rows if r.brand})]

@@ -103,3 +103,10 @@ def test_trailing_day_jobs(spark, tmp_path):
     jobs = spark.createDataFrame(rows, "stage string, c string, u string").selectExpr("stage", "timestamp(c) AS created_at", "timestamp(u) AS updated_at")
     got = run(spark, tmp_path, "trailing_day_jobs", job_rows=jobs)
     assert sorted(map(tuple, got)) == [("fetch", 2), ("media", 1)]
+
+
+def test_name_matches(spark, tmp_path):
+    terms = [("q", "Q Air", "qx7", "strong"), ("z", "Z", "Z-9", "weak"), ("e", "E", " - ", "strong"), ("n", "N", None, "weak")]
+    log = [(1, "flyqx7now.test"), (2, "z9.example"), (3, "other.test")]
+    got = run(spark, tmp_path, "name_matches", brand_terms=spark.createDataFrame(terms, "brand string, brand_name string, phrase string, strength string"), discovery_log=spark.createDataFrame(log, "delivery_id long, name string"))
+    assert {r.delivery_id: r.hits for r in got} == {1: "keyword:qx7", 2: "token:z9"}
