@@ -1,10 +1,13 @@
 """Subject areas of documents from curated weighted terms.
 
 A multi-pattern automaton (Aho-Corasick) finds the terms of subject_terms.tsv (a parameter) in the normalized sentences
-of a text. A term counts its weight times its rarity, which comes from its document frequency over all documents; the sum
-of a sentence is normalized by the sentence's length. A sentence deals with every subject whose sum reaches the sentence
-threshold (calibrated on hand labels, see :func:`calibrate`), so a word of several meanings alone doesn't decide. A
-document gets every subject that reaches the share of its sentences, else ``other``.
+of a text. The list grades every term by hand: 1 for what belongs to one subject only, 0.6 for what mostly does, 0.3 for
+a word of several meanings. A sentence's score for a subject is the sum of its different terms' weight times rarity
+(:func:`rarity`, from document frequencies over all documents), normalized by the sentence's length against the corpus's
+mean (:func:`length_norm`). A sentence deals with every subject whose score reaches that subject's threshold, calibrated
+on hand labels (:func:`calibrate`, subject_thresholds.tsv): a word of several meanings never decides alone, a term that
+mostly belongs to a subject does where it is rare enough and the sentence short enough. A document gets every subject
+that reaches the share of its sentences, else ``other``.
 """
 
 from __future__ import annotations
@@ -25,14 +28,17 @@ from pyspark.sql import functions as F
 
 from lookout.session import materialize, spread
 
-TERMS = os.path.join(os.path.dirname(__file__), "subject_terms.tsv")
+_HERE = os.path.dirname(__file__)
+TERMS = os.path.join(_HERE, "subject_terms.tsv")
+#: subject and threshold, as calibrate() finds them on half of the labelled documents of sf0.1.
+THRESHOLDS = os.path.join(_HERE, "subject_thresholds.tsv")
 OTHER = "other"
 #: The share of sentences that makes a subject of a document: TESTDATA's rule.
 SHARE = 0.2
-#: Calibrated by calibrate() on the hand labels of sf0.1: any value from 0.3 to 0.5 gives the same F1.
-SENTENCE_THRESHOLD = 0.4
-#: Words up to which a sentence counts in full.
-FULL_WORDS = 24
+#: Rarity is 1 for a term of one document in a hundred and stays between these.
+LEAST_RARE, MOST_RARE = 0.7, 1.25
+#: Length normalization: how much a sentence's length counts (0: not at all), and the most that a short one gains.
+SLOPE, MOST_NORM = 0.4, 1.2
 
 _BROKEN = regex.compile(r"[ÂÃâÅ][\x80-\xbfŒœŠšŸŽžƒˆ˜–-›€™]{1,2}")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Cc}--[\t\n\r]]", regex.V1)
@@ -41,13 +47,17 @@ _DIGIT_IN_WORD = re.compile(
 )
 _LEGIBLE = re.compile(r"[^\W_]")
 _WORD = re.compile(r"[^\W_]+")
-#: Sentences end at line ends, at end marks with closing quotes before white space, and after a row of links with bars.
+#: Sentences end at line ends and at end marks with closing quotes before white space.
 _MARK = re.compile("([.!?…][\"”“’'»)]{0,2})\\s+")
 _LINES = re.compile(r"[\r\n\u2028\u2029]+")
-#: The links' end begins at a bar, so that this, the slower pattern, has few places to try.
-_BARS = re.compile(r"(\| \S+\.\S+)\s+(?!\|)")
-#: A question answered by a fragment is one sentence.
-_ANSWER = regex.compile(r"(?<=\?)\s+(?=About \d)", regex.IGNORECASE)
+#: A row of at least three items between bars ends after the first word behind its last bar.
+_BARS = re.compile(r"(\|[^|\n]*\| \S+)\s+(?!\|)")
+#: Host names, links and addresses say nothing of a subject: words joined by dots with a hyphen, digit, second dot or @.
+_HOST = re.compile(r"\S*(?:://|@|www\.)\S+|(?=\S*[-\d]|[^\s.]+\.[^\s.]+\.[^\s.])[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")
+#: A question and an answer that begins with a quantity (in any of the three languages) are one sentence.
+_ANSWER = regex.compile(r"(?<=\?)\s+(?=(?:(?:about|around|roughly|nearly|almost|over|under|only|just|at least|up to|etwa|rund|circa|fast|nur|unos|unas|casi|solo|cerca de|alrededor de)\s+)?\p{N})", regex.IGNORECASE)
+#: Endings of the last word of a term by language: the regular plurals and cases.
+_ENDINGS = {"en": ("s", "es"), "de": ("e", "en", "n", "er", "s"), "es": ("s", "es")}
 
 
 def _repaired(m: regex.Match) -> str:
@@ -77,9 +87,28 @@ def sentences(text: str) -> list[str]:
 
 @cache
 def vocabulary(path: str = TERMS) -> tuple[tuple[str, float, str], ...]:
+    """(subject, weight, term in normal form), each term of a subject once, with its regular endings unless these are listed."""
     with open(path, encoding="utf-8") as f:
         rows = [line.rstrip("\n").split("\t") for line in f][1:]
-    return tuple((s, float(w), " ".join(_WORD.findall(plain(t)))) for s, w, t in rows)
+    listed: dict[tuple[str, str], float] = {}
+    grown: dict[tuple[str, str], float] = {}
+    for subject, language, weight, terms in rows:
+        for t in terms.split("; "):
+            term = " ".join(_WORD.findall(plain(t)))
+            listed[subject, term] = max(float(weight), listed.get((subject, term), 0.0))
+            if len(term) > 3:
+                more = [term + e for e in _ENDINGS.get(language, ())]
+                if language == "en" and term[-1] == "y":
+                    more.append(term[:-1] + "ies")
+                for m in more:
+                    grown[subject, m] = max(float(weight), grown.get((subject, m), 0.0))
+    return tuple((s, w, t) for (s, t), w in sorted({**grown, **listed}.items()))
+
+
+@cache
+def thresholds(path: str = THRESHOLDS) -> dict[str, float]:
+    with open(path, encoding="utf-8") as f:
+        return {s: float(x) for s, x in (line.rstrip("\n").split("\t") for line in list(f)[1:])}
 
 
 @cache
@@ -95,11 +124,11 @@ def automaton(path: str = TERMS) -> ahocorasick.Automaton:
     return a
 
 
-def term_hits(text: str | None, path: str = TERMS) -> tuple[int, list[tuple[int, list[int]]]]:
-    """The number of sentences, and of each that holds terms its number of words and the terms' numbers."""
+def term_hits(text: str | None, path: str = TERMS) -> tuple[int, int, list[tuple[int, list[int]]]]:
+    """The numbers of sentences and of words, and of each sentence that holds terms its number of words and the terms' numbers."""
     if not text or not _LEGIBLE.search(text):
-        return 0, []
-    lines = [" ".join(_WORD.findall(x)) for x in sentences(plain(text))]
+        return 0, 0, []
+    lines = [" ".join(_WORD.findall(_HOST.sub(" ", x) if "." in x else x)) for x in sentences(plain(text))]
     # All sentences at once, each between blanks and a line end, which no term holds.
     joined, ends, at = " " + " \n ".join(lines) + " ", [], 0
     for x in lines:
@@ -110,34 +139,53 @@ def term_hits(text: str | None, path: str = TERMS) -> tuple[int, list[tuple[int,
         by_sentence.setdefault(bisect_right(ends, end - n + 1), []).append((end - n + 1, end, numbers))
     found = []
     for k, spans in sorted(by_sentence.items()):
-        # A term within a longer one says nothing of its own: the timetable of "exam timetable" is no journey's.
-        hits = {i for start, end, numbers in spans if not any(x <= start and end <= y and y - x > end - start for x, y, _ in spans) for i in numbers}
+        # A term within a longer one says nothing of its own: the timetable of "exam timetable" is no journey's. Spans
+        # sorted by start, longest first, lie within an earlier one if they end no later than one of those.
+        spans.sort(key=lambda s: (s[0], -s[1]))
+        hits, reached = set(), -1
+        for _, end, numbers in spans:
+            if end > reached:
+                hits.update(numbers)
+                reached = end
         found.append((lines[k].count(" ") + 1, sorted(hits)))
-    return len(lines), found
+    return len(lines), sum(x.count(" ") + 1 for x in lines), found
 
 
 def rarity(df: int, docs: int) -> float:
-    """From 1.2 for a term of no document to 0.8 for one of all; every term of one document in a hundred has about 1."""
-    return 0.8 + 0.2 * min(1.0, math.log((docs + 1) / (df + 1)) / math.log(100)) if df else 1.2
+    """1 for a term of one document in a hundred, more for rarer ones, less for commoner ones, in logarithms of the share."""
+    return min(MOST_RARE, max(LEAST_RARE, math.log((docs + 1) / (df + 1)) / math.log(100)))
+
+
+def length_norm(words: int, mean: float) -> float:
+    """1 for a sentence of the corpus's mean length, less for a longer one (pivoted length normalization)."""
+    return min(MOST_NORM, 1.0 / (1.0 - SLOPE + SLOPE * words / mean))
+
 
+class Model:
+    """What scoring needs: each term's subject and its weight times rarity, the mean length, the thresholds by subject."""
 
-def assigned(n: int, hits: list[tuple[int, list[int]]], weight: list[float], subject: list[str], threshold: float = SENTENCE_THRESHOLD, share: float = SHARE) -> list[str]:
-    """The subjects of a document of n sentences; weight: each term's weight times its rarity."""
-    if not n:
-        return []
-    counts: dict[str, int] = {}
-    for words, terms in hits:
+    def __init__(self, weight: list[float], subject: list[str], mean: float, limit: dict[str, float], share: float = SHARE):
+        self.weight, self.subject, self.mean, self.limit, self.share = weight, subject, mean, limit, share
+
+    def scores(self, words: int, terms: list[int]) -> dict[str, float]:
+        """A sentence's score by subject."""
         sums: dict[str, float] = {}
         for t in terms:
-            sums[subject[t]] = sums.get(subject[t], 0.0) + weight[t]
-        norm = math.sqrt(min(1.0, FULL_WORDS / words))
-        for s, x in sums.items():
-            if x * norm >= threshold:
-                counts[s] = counts.get(s, 0) + 1
-    return sorted(s for s, c in counts.items() if c >= share * n - 1e-9) or [OTHER]
+            sums[self.subject[t]] = sums.get(self.subject[t], 0.0) + self.weight[t]
+        norm = length_norm(words, self.mean)
+        return {s: x * norm for s, x in sums.items()}
+
+    def assigned(self, n: int, hits: list[tuple[int, list[int]]]) -> list[str]:
+        """The subjects of a document of n sentences."""
+        counts: dict[str, int] = {}
+        for words, terms in hits:
+            for s, x in self.scores(words, terms).items():
+                if x >= self.limit[s]:
+                    counts[s] = counts.get(s, 0) + 1
+        return sorted(s for s, c in counts.items() if c >= self.share * n - 1e-9) or [OTHER]
 
 
-_HITS = "doc_id bigint, n_sentences int, hits array<struct<words:int,terms:array<int>>>"
+_HITS = "doc_id bigint, n_sentences int, n_words bigint, hits array<struct<words:int,terms:array<int>>>"
 
 
 def document_hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TERMS) -> DataFrame:
@@ -146,38 +194,42 @@ def document_hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, ns, hits = [], [], []
+            ids, ns, ws, hits = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, h = term_hits(t, path)
+                n, words, h = term_hits(t, path)
                 if n:
                     ids.append(i)
                     ns.append(n)
+                    ws.append(words)
                     hits.append([{"words": w, "terms": x} for w, x in h])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(hits, kind)], names=["doc_id", "n_sentences", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(ws, pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_sentences", "n_words", "hits"])
 
     return spread(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(batches, _HITS)
 
 
-def weights(hits: DataFrame, path: str = TERMS) -> list[float]:
-    """Each term's weight times its rarity over all documents. What reaches the driver is one number per term of the list."""
+def fitted(hits: DataFrame, path: str = TERMS, limit: dict[str, float] | None = None, share: float = SHARE) -> Model:
+    """The model for a corpus: rarity and mean length over all its documents. One number per term reaches the driver."""
     per_doc = hits.select(F.explode(F.array_distinct(F.flatten("hits.terms"))).alias("term")).groupBy("term").count()
-    df, docs = {r.term: r["count"] for r in per_doc.collect()}, hits.count()
-    return [w * rarity(df.get(i, 0), docs) for i, (_, w, _) in enumerate(vocabulary(path))]
+    df = {r.term: r["count"] for r in per_doc.collect()}
+    # The mean over documents of their own means, so that no document of very many sentences sets it.
+    docs, mean = hits.agg(F.count(F.lit(1)), F.coalesce(F.round(F.avg(F.col("n_words") / F.col("n_sentences")), 3), F.lit(1.0))).first()
+    listed = vocabulary(path)
+    return Model([w * rarity(df.get(i, 0), docs) for i, (_, w, _) in enumerate(listed)], [s for s, _, _ in listed], mean, thresholds() if limit is None else limit, share)
 
 
-def subject_areas(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TERMS, threshold: float = SENTENCE_THRESHOLD, share: float = SHARE) -> DataFrame:
+def subject_areas(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TERMS, limit: dict[str, float] | None = None, share: float = SHARE) -> DataFrame:
     """doc_id, subject: one row per subject of a document, ``other`` if it has none; illegible texts are no cases.
 
     Rows that repeat a doc_id are judged each on its own. An empty table gives an empty result.
     """
     hits = materialize(document_hits(docs, doc_id, text, path), "subject-hits")
-    weight, subject = weights(hits, path), [s for s, _, _ in vocabulary(path)]
+    model = fitted(hits, path, limit, share)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, found = [], []
             for r in b.to_pylist():
-                for s in assigned(r["n_sentences"], [(h["words"], h["terms"]) for h in r["hits"]], weight, subject, threshold, share):
+                for s in model.assigned(r["n_sentences"], [(h["words"], h["terms"]) for h in r["hits"]]):
                     ids.append(r["doc_id"])
                     found.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "subject"])
@@ -185,21 +237,66 @@ def subject_areas(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     return hits.mapInArrow(batches, "doc_id bigint, subject string").withColumnRenamed("doc_id", doc_id)
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, bound: int = 20_000, grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)) -> dict[float, float]:
-    """F1 against hand labels by sentence threshold, on at most ``bound`` labelled documents (those of smallest hash)."""
+#: Thresholds that calibrate() tries: from above what one word of several meanings can reach (0.3 * MOST_RARE * MOST_NORM).
+GRID = tuple(round(0.46 + 0.02 * i, 2) for i in range(28))
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, bound: int = 20_000, path: str = TERMS, rare: bool = True, normed: bool = True) -> tuple[dict[str, float], dict[str, dict[str, tuple[float, float]]]]:
+    """(thresholds by subject, F1 by subject and overall as (fitted half, held-out half)).
+
+    At most ``bound`` labelled documents (those of smallest hash) are used; rarity and mean length come from all
+    documents. Half of the labelled ones, by hash, fit: a subject's threshold lies a third (in logarithms) above
+    the lower end of the longest run of grid values with the best F1 of its own labels: a decisive sentence's score has a
+    long tail downwards. The other half is only measured. ``rare`` and ``normed`` switch rarity and
+    length normalization off, to measure what they do.
+    """
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where("subject is not null and subject <> ''").distinct()
     ids = clean.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(bound)
-    hits = materialize(document_hits(docs.join(ids, "doc_id", "left_semi")), "subject-labelled")
-    weight, subject = weights(hits), [s for s, _, _ in vocabulary()]
+    all_hits = materialize(document_hits(docs, path=path), "subject-hits")
+    model = fitted(all_hits, path, {})
+    if not rare:
+        model.weight = [w for _, w, _ in vocabulary(path)]
+    if not normed:
+        model.mean = float("inf")
     truth: dict[int, set] = {}
     for r in clean.join(ids, "doc_id", "left_semi").collect():
         truth.setdefault(r.doc_id, set()).add(r.subject)
-    rows = [(r.doc_id, r.n_sentences, [(h.words, h.terms) for h in r.hits]) for r in hits.collect()]
-    scores = {}
-    for t in grid:
+    labelled = all_hits.join(ids, "doc_id", "left_semi").withColumn("_half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)))
+    rows = []
+    for r in labelled.collect():
+        best: dict[str, list[float]] = {}
+        for h in r.hits:
+            for s, x in model.scores(h.words, h.terms).items():
+                best.setdefault(s, []).append(x)
+        # The share is reached if the k-th best sentence reaches the threshold.
+        k = max(1, math.ceil(model.share * r.n_sentences - 1e-9))
+        rows.append((r["_half"], truth[r.doc_id], {s: sorted(x, reverse=True)[k - 1] if len(x) >= k else 0.0 for s, x in best.items()}))
+
+    def f1(half: int, subject: str, t: float) -> tuple[int, int, int]:
         right = said = wanted = 0
-        for i, n, h in rows:
-            got, want = set(assigned(n, h, weight, subject, t)), truth[i]
-            right, said, wanted = right + len(got & want), said + len(got), wanted + len(want)
-        scores[t] = 2 * right / max(1, said + wanted)
-    return scores
+        for h, want, at in rows:
+            if h == half:
+                got = at.get(subject, 0.0) >= t
+                right, said, wanted = right + (got and subject in want), said + got, wanted + (subject in want)
+        return right, said, wanted
+
+    limit, report = {}, {}
+    total = [[0, 0, 0], [0, 0, 0]]
+    score = lambda c: 2 * c[0] / max(1, c[1] + c[2])
+    for subject in sorted({s for s, _, _ in vocabulary(path)}):
+        fits = [score(f1(0, subject, t)) for t in GRID]
+        runs, top = [], max(fits)
+        for i, x in enumerate(fits):
+            if x == top:
+                if runs and runs[-1][-1] == i - 1:
+                    runs[-1].append(i)
+                else:
+                    runs.append([i])
+        run = max(runs, key=len)
+        limit[subject] = round(GRID[run[0]] ** (2 / 3) * GRID[run[-1]] ** (1 / 3), 2)
+        for half in (0, 1):
+            for j, x in enumerate(f1(half, subject, limit[subject])):
+                total[half][j] += x
+        report[subject] = tuple(score(f1(half, subject, limit[subject])) for half in (0, 1))
+    report["all"] = tuple(score(t) for t in total)
+    return limit, report
