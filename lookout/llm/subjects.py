@@ -53,7 +53,8 @@ _LINES = re.compile(r"[\r\n\u2028\u2029]+")
 #: A row of at least three items between bars ends after the first word behind its last bar.
 _BARS = re.compile(r"(\|[^|\n]*\| \S+)\s+(?!\|)")
 #: Host names, links and addresses say nothing of a subject: words joined by dots with a hyphen, digit, second dot or @.
-_HOST = re.compile(r"\S*(?:://|@|www\.)\S+|(?=\S*[-\d]|[^\s.]+\.[^\s.]+\.[^\s.])[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])")
+_DOTTED = re.compile(r"[\w/]\.[^\W\d_]{2}|:/")
+_HOST = re.compile(r"(?<!\S)(?:\S*(?:://|@|www\.)\S+|(?=\S*[-\d]|[^\s.]+\.[^\s.]+\.[^\s.])\W*[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-]))")
 #: A question and an answer that begins with a quantity (in any of the three languages) are one sentence.
 _ANSWER = regex.compile(r"(?<=\?)\s+(?=(?:(?:about|around|roughly|nearly|almost|over|under|only|just|at least|up to|etwa|rund|circa|fast|nur|unos|unas|casi|solo|cerca de|alrededor de)\s+)?\p{N})", regex.IGNORECASE)
 #: Endings of the last word of a term by language: the regular plurals and cases.
@@ -124,31 +125,41 @@ def automaton(path: str = TERMS) -> ahocorasick.Automaton:
     return a
 
 
+def _outer(spans: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
+    """The terms of (start, -end, numbers) that don't lie within a longer one: the timetable of "exam timetable" is no journey's."""
+    if len(spans) == 1:
+        return list(spans[0][2])
+    hits, reached = set(), 1
+    for _, end, numbers in sorted(spans):  # by start, longest first: one lies within an earlier one if it ends no later
+        if end < reached:
+            hits.update(numbers)
+            reached = end
+    return sorted(hits)
+
+
 def term_hits(text: str | None, path: str = TERMS) -> tuple[int, int, list[tuple[int, list[int]]]]:
     """The numbers of sentences and of words, and of each sentence that holds terms its number of words and the terms' numbers."""
     if not text or not _LEGIBLE.search(text):
         return 0, 0, []
-    lines = [" ".join(_WORD.findall(_HOST.sub(" ", x) if "." in x else x)) for x in sentences(plain(text))]
+    lines = [" ".join(_WORD.findall(_HOST.sub(" ", x) if _DOTTED.search(x) else x)) for x in sentences(plain(text))]
     # All sentences at once, each between blanks and a line end, which no term holds.
     joined, ends, at = " " + " \n ".join(lines) + " ", [], 0
     for x in lines:
         at += len(x) + 3
         ends.append(at)
-    by_sentence: dict[int, list] = {}
+    counts = [x.count(" ") + 1 for x in lines]
+    # Hits come in order of their ends, so sentences come one after the other.
+    found, spans, k = [], [], 0
     for end, (n, numbers) in automaton(path).iter(joined):
-        by_sentence.setdefault(bisect_right(ends, end - n + 1), []).append((end - n + 1, end, numbers))
-    found = []
-    for k, spans in sorted(by_sentence.items()):
-        # A term within a longer one says nothing of its own: the timetable of "exam timetable" is no journey's. Spans
-        # sorted by start, longest first, lie within an earlier one if they end no later than one of those.
-        spans.sort(key=lambda s: (s[0], -s[1]))
-        hits, reached = set(), -1
-        for _, end, numbers in spans:
-            if end > reached:
-                hits.update(numbers)
-                reached = end
-        found.append((lines[k].count(" ") + 1, sorted(hits)))
-    return len(lines), sum(x.count(" ") + 1 for x in lines), found
+        if end - n + 1 >= ends[k]:
+            if spans:
+                found.append((counts[k], _outer(spans)))
+                spans = []
+            k = bisect_right(ends, end - n + 1)
+        spans.append((end - n + 1, -end, numbers))
+    if spans:
+        found.append((counts[k], _outer(spans)))
+    return len(lines), sum(counts), found
 
 
 def rarity(df: int, docs: int) -> float:
