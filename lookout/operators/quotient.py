@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lookout.session import broadcast_if_small, materialize
+
 QUOTIENT_BITS = 12
 REMAINDER = ["r0", "r1", "r2", "r3"]
 KEY = ["quotient", *REMAINDER]
@@ -79,11 +81,19 @@ def first_copies(rows: DataFrame, id_col: str, time_col: str, seq_col: str) -> D
     """The whole kept rows, exactly one per identifier; all columns of ``rows``, whatever their names.
 
     Rows that repeat a seq with the same identifier are one delivery written twice and come out once. Rows without a
-    valid identifier are not in the result (see replay_stats for their number). The join is on the unique seq, so no
-    identifier can make a hot partition.
+    valid identifier are not in the result (see replay_stats for their number). Only narrow rows are aggregated: the seqs
+    that repeat an identifier, and the seqs written twice. Within the broadcast's bounds whole rows aren't shuffled at all,
+    beyond them once, by their seq, so no identifier can make a hot partition.
     """
-    kept = _kept_seqs(rows, id_col, time_col, seq_col)
-    return rows.join(kept, rows[seq_col].cast("long") == kept["_kept"], "left_semi").where(hex_id(F.col(f"`{id_col}`")).isNotNull()).dropDuplicates([seq_col])
+    repeats = materialize(repeated_copies(rows, id_col, time_col, seq_col).select(F.col(seq_col).cast("long").alias("_repeat")).distinct(), "repeated-seqs")
+    ids = rows.select(F.col(seq_col).cast("long").alias("_seq"), hex_id(F.col(f"`{id_col}`")).isNotNull().alias("_ok")).where("_ok and _seq is not null")
+    twice = materialize(ids.groupBy("_seq").count().where("count > 1").select("_seq"), "seqs-written-twice")
+    (repeats, _), (few, _) = broadcast_if_small(repeats), broadcast_if_small(twice)
+    seq = F.col(seq_col).cast("long")
+    kept = rows.where(hex_id(F.col(f"`{id_col}`")).isNotNull() & seq.isNotNull()).join(repeats, seq == F.col("_repeat"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.join(few, seq == F.col("_seq"), "left_anti").unionByName(kept.join(few, seq == F.col("_seq"), "left_semi").dropDuplicates([seq_col]))
 
 
 def repeated_copies(rows: DataFrame, id_col: str, time_col: str, seq_col: str) -> DataFrame:
@@ -110,29 +120,32 @@ def replay_stats(rows: DataFrame, batch_col: str, id_col: str, time_col: str, se
 class QuotientStore:
     """Tables kept between batches, one folder per quotient: later batches are held against all earlier identifiers.
 
-    ``insert`` returns the batch's first copies of identifiers that no earlier batch held and adds them. A batch reads
-    only the shards its quotients name (dynamic partition pruning on ``quotient``). Re-inserting a batch under its
-    ``batch`` name replaces its entries, so a retried batch leaves the store as one run does.
+    ``insert`` adds a batch's new identifiers and returns the seqs of their first copies. The batch's quotients, at most
+    2 ** quotient_bits small numbers, go into the scan as a partition filter, so only the shards that they name are read;
+    choose the bits so that a shard is what one task reads at ease. Re-inserting a batch under its ``batch`` name replaces
+    its entries, so a retried batch leaves the store as one run does.
     """
 
     def __init__(self, spark: SparkSession, path: str, quotient_bits: int = 6):
         self.spark, self.path, self.bits = spark, path, quotient_bits
 
-    def _table(self, without: str) -> DataFrame | None:
+    def shards(self, quotients: list[int], without: str | None = None) -> DataFrame | None:
+        """The entries of the named shards but for those of one batch; None if there is no store yet."""
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(fs_path):
             return None
-        return self.spark.read.schema("r0 long, r1 long, r2 long, r3 long, kept long, batch string, quotient int").parquet(self.path).where(F.col("batch") != without)
+        entries = self.spark.read.schema("r0 long, r1 long, r2 long, r3 long, kept long, batch string, quotient int").parquet(self.path).where(F.col("quotient").isin(quotients))
+        return entries if without is None else entries.where(F.col("batch") != without)
 
     def insert(self, rows: DataFrame, batch: str, id_col: str, time_col: str, seq_col: str) -> DataFrame:
-        from lookout.session import materialize
-
-        new = quotient_table(rows, id_col, time_col, seq_col, self.bits)
-        old = self._table(batch)
+        """The seqs (as ``seq_col``, long) of the batch's rows that hold an identifier for the first time."""
+        new = materialize(quotient_table(rows, id_col, time_col, seq_col, self.bits).select(*KEY, "kept"), "quotient-batch")
+        named = sorted(r.quotient for r in new.select("quotient").distinct().collect())
+        old = self.shards(named, batch)
         if old is not None:
             same = reduce(lambda x, y: x & y, [new[c] == old[c] for c in KEY])
-            new = new.join(old, same, "left_anti")
-        new = materialize(new.select(*KEY, "kept").withColumn("batch", F.lit(batch)), "quotient-batch")
-        new.select(*REMAINDER, "kept", "batch", "quotient").repartition("quotient").write.partitionBy("batch", "quotient").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
-        return rows.join(new, rows[seq_col].cast("long") == new["kept"], "left_semi").where(hex_id(F.col(f"`{id_col}`")).isNotNull()).dropDuplicates([seq_col])
+            new = materialize(new.join(old, same, "left_anti"), "quotient-new")
+        entries = new.select(*REMAINDER, "kept", F.lit(batch).alias("batch"), "quotient")
+        entries.repartition("quotient").write.partitionBy("batch", "quotient").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        return new.select(F.col("kept").alias(seq_col))

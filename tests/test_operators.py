@@ -56,6 +56,8 @@ def test_store_of_batches(spark, tmp_path):
     assert put(batch((4, 2), (5, 3), (6, 3)), "b") == [5]
     assert put(batch((4, 2), (5, 3), (6, 3)), "b") == [5]  # retried
     assert put(batch((7, 1), (8, 3)), "c") == []
+    plan = store.shards([3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(quotient" in plan  # other shards aren't read
 
 
 # Exact quantiles -----------------------------------------------------------------------------------------------------
