@@ -8,27 +8,42 @@ from lookout.llm import seen
 from lookout.sources.tables import table
 
 
-def _seen(spark, d):
-    parts = (("cert_messages", seen.certificates), ("discovery_log", seen.events))
+PARTS = (("cert_messages", seen.certificates), ("discovery_log", seen.events))
+#: Micro-batches that p3_verdicts cuts each table into, by ranges of its ids, which are its order of arrival.
+ARRIVALS = 4
+
+
+def p3_found(spark, d):
+    """Records whose key occurs in an earlier row of the same table.
+
+    The files of a table are in no order of arrival, so each table comes as one micro-batch.
+    """
     stream = None
-    for name, key in parts:
+    for name, key in PARTS:
         s = key(seen.file_stream(spark, f"{d}/{name}.parquet"))
         stream = s if stream is None else stream.unionByName(s)
     op = seen.SeenKeys(spark)
     op.run(stream)
-    return op, seen.certificates(table(spark, d, "cert_messages")).unionByName(seen.events(table(spark, d, "discovery_log")))
+    return op.repeats()
 
 
-def p3_found(spark, d):
-    """Records whose key occurs in an earlier row of the same table."""
-    op, records = _seen(spark, d)
-    return op.repeats(records)
+def p3_verdicts(spark, d):
+    """First or repeat of every record with a key, as the records arrive in several micro-batches of increasing ids."""
+    tables = [key(table(spark, d, name)) for name, key in PARTS]
+    ends = [t.agg(F.min("record_id"), F.max("record_id")).first() for t in tables]
 
+    def arrivals():
+        for i in range(ARRIVALS):
+            now = None
+            for t, (low, high) in zip(tables, ends):
+                cut = lambda j: 0 if low is None else low + (high + 1 - low) * j // ARRIVALS  # noqa: E731, B023
+                part = t.where((F.col("record_id") >= cut(i)) & (F.col("record_id") < cut(i + 1)))
+                now = part if now is None else now.unionByName(part)
+            yield now
 
-def p3_verdicts(spark, d):
-    """First or repeat of every record with a key."""
-    op, records = _seen(spark, d)
-    return op.verdicts(records)
+    op = seen.SeenKeys(spark)
+    op.run_batches(arrivals())
+    return op.verdicts()
 
 
 def p3_wrong_answers(spark, d):
@@ -36,7 +51,7 @@ def p3_wrong_answers(spark, d):
     messages = table(spark, d, "cert_messages")
     op = seen.SeenKeys(spark)
     op.run(seen.certificates(seen.file_stream(spark, f"{d}/cert_messages.parquet")))
-    verdicts = op.verdicts(seen.certificates(messages)).select(F.col("record_id").alias("msg_id"), "seen")
+    verdicts = op.verdicts().select(F.col("record_id").alias("msg_id"), "seen")
     timed = messages.select("msg_id", F.date_trunc("hour", "received_at").alias("hour_start")).join(verdicts, "msg_id")
     hours = timed.groupBy("hour_start").agg(F.count(F.lit(1)).alias("keyed"), F.count_if("seen").alias("duplicates"))
     recorded = table(spark, d, "hourly_counters").select("hour_start", F.col("duplicate_certificates").alias("recorded"))
