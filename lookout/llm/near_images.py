@@ -3,16 +3,21 @@
 Two records are alike if their sha256 are equal, or if both are measurable (spread of brightness, positive size), their
 aspect ratios are close, and at most 10 bits of phash and 8 bits of dhash differ.
 
-The problem's method, one-permutation hashing with banded buckets and star edges (:mod:`lookout.llm.oph`), finds such
-pairs only with some probability and drops pairs of a bucket that don't include its hub (:func:`oph_edges`; measured in
-the README), while every pair is asked for. The search here is exact: 8 differing bits in three blocks of dhash leave a
-block with at most 2, and two blocks that differ in at most 2 bits meet if each side also lists its neighbours at one
-bit. A block value is a bucket. Where a bucket is crowded, phash splits it the same way: 10 bits in four blocks leave one
-with at most 2. No bucket is capped. Equal (phash, dhash) pairs are one node, so copies meet once.
+Groups (:func:`alike_groups`) come from one-permutation hashing with banded buckets and star edges
+(:mod:`lookout.llm.oph`) over the 128 bits of both hashes: every edge is checked exactly, then connected. Stars miss a pair
+of a bucket that doesn't include its hub, but hardly a group, as other permutations have other hubs (recall: README).
+
+All pairs (:func:`alike_pairs`) are asked for without any missing, which hashing can't promise, so that search is exact: 8
+differing bits in three blocks of dhash leave a block with at most 2, and two blocks that differ in at most 2 bits meet if
+each side also lists its neighbours at one bit. A block value is a bucket. Where a bucket is crowded, phash splits it the
+same way: 10 bits in four blocks leave one with at most 2. No bucket is capped. Equal (phash, dhash) pairs are one node, so
+copies meet once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +29,9 @@ MAX_PHASH, MAX_DHASH, LEAST_SPREAD, MAX_ASPECT = 10, 8, 12.0, 1.35
 #: (first bit, bits) of the blocks.
 DHASH_BLOCKS = ((0, 21), (21, 21), (42, 22))
 PHASH_BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
-#: Nodes in a bucket from which it is split by phash.
-CROWDED = 500
+#: Nodes in a bucket from which it is split by phash, and equal block values from which these count for it. Both change
+#: the plan only: a bucket that isn't split holds at most CROWDED + 23 * COUNTED nodes.
+CROWDED, COUNTED = 500, 20
 
 
 def prepared(corpus: DataFrame) -> DataFrame:
@@ -61,11 +67,33 @@ def _met(buckets: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, same & (F.col("a") < F.col("b")) & _close("p", "d", "p2", "d2")).select("a", "b")
 
 
+def _blocks(bits: Column, blocks: tuple[tuple[int, int], ...]) -> Column:
+    """The first key of every block of _neighbours: that of its own value."""
+    return F.array(*[F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << width) - 1)).cast("long").bitwiseOR(F.lit(n << 32)) for n, (at, width) in enumerate(blocks)])
+
+
+def _around(key: Column, blocks: tuple[tuple[int, int], ...]) -> Column:
+    """A block key and its neighbours at one bit."""
+    out = F.array(key)
+    for n, (_, width) in enumerate(blocks):
+        out = F.when(F.shiftright(key, 32) == n, F.array(*[key.bitwiseXOR(F.lit(f)) for f in [0, *(1 << i for i in range(width))]])).otherwise(out)
+    return out
+
+
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """_hot: the dhash keys of crowded buckets, from the counts of block values alone, 3 rows a node instead of 67."""
+    values = nodes.select(F.explode(_blocks(F.col("d"), DHASH_BLOCKS)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COUNTED)
+    return values.select(F.explode(_around(F.col("value"), DHASH_BLOCKS)).alias("_hot"), "n").groupBy("_hot").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("_hot")
+
+
 def node_pairs(nodes: DataFrame) -> DataFrame:
     """a, b: all pairs of nodes (node, p, d; each (p, d) once) within both thresholds, a < b, each pair once."""
     # Every node becomes 67 rows here, so nodes that fit into one file are spread first.
-    keyed = materialize(spread(nodes).select("node", "p", "d", F.explode(_neighbours(F.col("d"), DHASH_BLOCKS)).alias("key")), "dhash-buckets")
-    crowded = materialize(keyed.groupBy("key").count().where(F.col("count") > CROWDED).select(F.col("key").alias("_hot")), "crowded")
+    keyed = spread(nodes).select("node", "p", "d", F.explode(_neighbours(F.col("d"), DHASH_BLOCKS)).alias("key"))
+    crowded = materialize(_crowded(nodes), "crowded")
+    if crowded.isEmpty():
+        return _met(keyed, ["key"]).distinct()
+    keyed = materialize(keyed, "dhash-buckets")
     hot, _ = broadcast_if_small(crowded)
     plain = _met(keyed.join(hot, F.col("key") == F.col("_hot"), "left_anti"), ["key"])
     inside = keyed.join(hot, F.col("key") == F.col("_hot"), "left_semi").withColumn("sub", F.explode(_neighbours(F.col("p"), PHASH_BLOCKS)))
@@ -101,50 +129,47 @@ def alike_pairs(corpus: DataFrame) -> DataFrame:
     return seen.unionByName(same).distinct()
 
 
-def alike_groups(corpus: DataFrame) -> DataFrame:
-    """id, group_id, links: one row per record; groups are connected by alikeness, group_id is the least id.
+def _bit_keys(bins: int, rows: int, permutations: int):
+    """Bucket keys of (id, p, d): the set of 128 elements (bit position and value), of 256 that there are."""
+
+    def keys_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, p, d = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(ids):
+            return ids, np.empty((0, 0), np.int64)
+        raw = np.stack([p, d], axis=1).astype("<i8").view(np.uint8).reshape(len(ids), 16)
+        bits = np.unpackbits(raw, axis=1, bitorder="little").astype(bool)
+        present = np.stack([~bits, bits], axis=2).reshape(len(ids), 256)
+        return ids, np.concatenate([oph.band_keys(oph.subset_sketches(present, bins, n), rows, n) for n in range(permutations)], axis=1)
+
+    return keys_of
+
+
+def oph_edges(looks: DataFrame, bins: int = oph.BINS, rows: int = oph.ROWS, permutations: int = oph.PERMUTATIONS) -> DataFrame:
+    """a, b (a < b): the star edges of one-permutation buckets between looks (rep, p, d, aspect) that pass the exact test."""
+    buckets = materialize(oph.bucketed(spread(looks.select("rep", "p", "d")), _bit_keys(bins, rows, permutations)), "oph-buckets")
+    left, right = (looks.select(*[F.col(c).alias(f"{c}{n}") for c in ("rep", "p", "d", "aspect")]) for n in "12")
+    both = oph.star_edges(buckets).join(left, F.col("hub") == F.col("rep1")).join(right, F.col("item_id") == F.col("rep2"))
+    return both.where(_close("p1", "d1", "p2", "d2") & _aspect_ok("aspect1", "aspect2")).select(F.least("hub", "item_id").alias("a"), F.greatest("hub", "item_id").alias("b")).distinct()
+
+
+def looks_of(rows: DataFrame) -> DataFrame:
+    """rep (least id), p, d, aspect: one row for each different look among prepared rows, written once."""
+    return materialize(rows.where("p is not null").groupBy("p", "d", "aspect").agg(F.min("id").alias("rep")), "looks")
+
+
+def alike_groups(corpus: DataFrame, **parameters) -> DataFrame:
+    """id, group_id: one row per record; groups are connected by alikeness, group_id is the least id.
 
-    Copies aren't expanded: equal sha256 and equal (phash, dhash, aspect) hang on one representative, and pairs are
-    sought between representatives. links: representatives alike to the record's own.
+    Copies aren't expanded: equal sha256 and equal (phash, dhash, aspect) hang on one representative, and edges are sought
+    between representatives. ``parameters``: bins, rows and permutations of :func:`oph_edges`. Records without an edge are
+    groups of their own; an empty table gives an empty result.
     """
     rows = materialize(prepared(corpus), "images")
-    # Representatives: one per (p, d, aspect).
-    looks = materialize(rows.where("p is not null").groupBy("p", "d", "aspect").agg(F.min("id").alias("rep")), "looks")
-    nodes = materialize(looks.groupBy("p", "d").agg(F.min("rep").alias("node")), "hash-nodes")
-    placed = looks.join(nodes.withColumnsRenamed({"p": "_p", "d": "_d"}), (F.col("p") == F.col("_p")) & (F.col("d") == F.col("_d"))).select("node", "rep", "aspect")
-    placed = materialize(placed, "hash-members")
-    pairs = node_pairs(nodes).unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    left = placed.select(F.col("node").alias("_na"), F.col("rep").alias("ra"), F.col("aspect").alias("aa"))
-    right = placed.select(F.col("node").alias("_nb"), F.col("rep").alias("rb"), F.col("aspect").alias("ab"))
-    links = pairs.join(left, F.col("a") == F.col("_na")).join(right, F.col("b") == F.col("_nb")).where(_aspect_ok("aa", "ab") & (F.col("ra") != F.col("rb")))
-    links = materialize(links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "look-pairs")
-    by_look = rows.where("p is not null").join(looks.withColumnsRenamed({"p": "_p", "d": "_d", "aspect": "_x"}), (F.col("p") == F.col("_p")) & (F.col("d") == F.col("_d")) & (F.col("aspect") == F.col("_x"))).select("id", "rep")
-    by_look = materialize(by_look, "look-members")
+    looks = looks_of(rows)
+    same_look = (F.col("p") == F.col("_p")) & (F.col("d") == F.col("_d")) & (F.col("aspect") == F.col("_x"))
+    by_look = rows.where("p is not null").join(looks.withColumnsRenamed({"p": "_p", "d": "_d", "aspect": "_x"}), same_look).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     shas = rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("first")).select(F.col("sha").alias("_sha"), "first")
     by_sha = rows.where("sha is not null").join(shas, F.col("sha") == F.col("_sha")).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    edges = links.unionByName(by_look.select(F.col("rep").alias("a"), F.col("id").alias("b"))).unionByName(by_sha)
-    grouped = components.components(edges)
-    degree = links.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").count()
-    counted = by_look.join(degree, F.col("rep") == F.col("_rep")).groupBy(F.col("id").alias("_l")).agg(F.max("count").alias("links"))
+    grouped = components.components(oph_edges(looks, **parameters).unionByName(by_look).unionByName(by_sha))
     ids = rows.select("id").distinct()
-    return (
-        ids.join(grouped, F.col("id") == F.col("node"), "left")
-        .join(counted, F.col("id") == F.col("_l"), "left")
-        .select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
-
-
-def bit_elements(p: Column, d: Column) -> Column:
-    """The 128 elements (bit position and value) of a pair of hashes, as a set for one-permutation hashing."""
-    bit = lambda x, i: F.shiftrightunsigned(x, i).bitwiseAND(F.lit(1)).cast("long")
-    return F.array(*[bit(p, i) + F.lit(2 * i) for i in range(64)], *[bit(d, i) + F.lit(128 + 2 * i) for i in range(64)])
-
-
-def oph_edges(corpus: DataFrame, bins: int = oph.BINS, rows: int = oph.ROWS) -> DataFrame:
-    """id_a, id_b: the star edges of one-permutation buckets between distinct hash pairs that pass the exact test."""
-    images = materialize(prepared(corpus), "images")
-    looks = materialize(images.where("p is not null").groupBy("p", "d", "aspect").agg(F.min("id").alias("rep")), "looks")
-    edges = oph.star_edges(materialize(oph.banded(looks.withColumn("bits", bit_elements(F.col("p"), F.col("d"))), "rep", "bits", bins, rows), "oph-buckets"))
-    left, right = (looks.select(*[F.col(c).alias(f"{c}{n}") for c in ("rep", "p", "d", "aspect")]) for n in "12")
-    both = edges.join(left, F.col("hub") == F.col("rep1")).join(right, F.col("item_id") == F.col("rep2"))
-    return both.where(_close("p1", "d1", "p2", "d2") & _aspect_ok("aspect1", "aspect2")).select(F.least("hub", "item_id").alias("id_a"), F.greatest("hub", "item_id").alias("id_b"))
+    return ids.join(grouped, F.col("id") == F.col("node"), "left").select("id", F.coalesce("group_id", "id").alias("group_id"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lookout.llm import components, near_images, oph, q5_near
 
@@ -25,6 +26,7 @@ def brute(rows):
 
 def test_thresholds_and_crowded_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_images, "CROWDED", 5)
+    monkeypatch.setattr(near_images, "COUNTED", 1)
     rng, rows = random.Random(3), []
     flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
     for _ in range(25):
@@ -52,11 +54,32 @@ def test_thresholds_and_crowded_buckets(spark, monkeypatch):
     assert near_images.alike_pairs(df.limit(0)).count() == near_images.alike_groups(df.limit(0)).count() == 0
 
 
-def test_groups_of_the_table(spark, sf):
+def test_groups_of_the_table(spark):
+    """Hashing against the exact pairs: recall of pairs in one group, and no group that the pairs don't connect."""
+    sf = "/root/testdata/sf0.1"
     pairs = [(r.id_a, r.id_b) for r in q5_near.p5_found(spark, sf).collect()]
     groups = {r.id: r.group_id for r in q5_near.p5_groups(spark, sf).collect()}
-    assert all(groups[a] == groups[b] for a, b in pairs)
-    assert {a for a, b in pairs} | {b for a, b in pairs} == {i for i in groups if sum(g == groups[i] for g in groups.values()) > 1}
+    exact = {r.node: r.group_id for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert len(pairs) > 4000 and sum(groups[a] == groups[b] for a, b in pairs) > 0.99 * len(pairs)
+    found = {}
+    for i, g in groups.items():
+        found.setdefault(g, set()).add(exact.get(i, i))
+    assert all(len(v) == 1 for v in found.values()) and all(min(i for i in groups if groups[i] == g) == g for g in list(found)[:50])
+
+
+def test_recall_of_star_edges(spark):
+    rows = near_images.prepared(spark.read.parquet("/root/testdata/sf0.1/reference_corpus.parquet"))
+    looks = near_images.looks_of(rows)
+    edges = {(r.a, r.b) for r in near_images.oph_edges(looks).collect()}
+    nodes = looks.select(F.col("rep").alias("node"), "p", "d").groupBy("p", "d").agg(F.min("node").alias("node"))
+    reps = [r for r in looks.collect()]
+    by_hash = {}
+    for r in reps:
+        by_hash.setdefault((r.p, r.d), []).append(r)
+    at = {r.node: by_hash[r.p, r.d] for r in nodes.collect()}
+    close = [(x, y) for r in near_images.node_pairs(nodes).collect() for x in at[r.a] for y in at[r.b]] + [(x, y) for v in at.values() for x in v for y in v if x.rep < y.rep]
+    true = {(min(x.rep, y.rep), max(x.rep, y.rep)) for x, y in close if max(x.aspect, y.aspect) <= min(x.aspect, y.aspect) * 1.35}
+    assert edges <= true and len(edges) > 0.95 * len(true)
 
 
 def test_components(spark):
@@ -77,6 +100,18 @@ def test_sketches_estimate_similarity():
 
 
 def test_star_edges_bound_pairs(spark):
-    buckets = spark.createDataFrame([(i, 1) for i in range(100)] + [(5, 2), (9, 2), (7, 3)], "item_id long, key long")
+    buckets = spark.createDataFrame([(i, 1) for i in range(100)] + [(200, 2), (300, 2), (7, 3)], "item_id long, key long")
     got = {(r.hub, r.item_id) for r in oph.star_edges(buckets).collect()}
-    assert got == {(0, i) for i in range(1, 100)} | {(5, 9)}
+    (hub,) = {h for h, i in got if i < 100}
+    assert {i for h, i in got if h == hub} == set(range(100)) - {hub} and len(got) == 100
+    assert {frozenset(e) for e in got if max(e) >= 200} == {frozenset((200, 300))}
+
+
+def test_whole_batches_sketch_as_single_sets():
+    rng = np.random.default_rng(2)
+    present = rng.random((50, 256)) < 0.3
+    for n in range(2):
+        many = oph.subset_sketches(present, 128, n)
+        for row, s in zip(present, many):
+            assert (oph.sketch(np.flatnonzero(row), 128, n) == s).all()
+        assert (oph.band_keys(many, 8, n)[3] == oph.band_keys(many[3], 8, n)).all()
