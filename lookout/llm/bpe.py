@@ -125,73 +125,94 @@ class Encoder:
         return [whole] if whole is not None else [self.ranks[p] for p in _merged(piece, self.ranks)]
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
+        """The ids of a whole piece, through the byte transducer; those of short pieces are remembered."""
         found = self._known.get(piece)
         if found is None:
-            raw = piece.encode("utf-8")
-            if len(raw) <= self.window:
-                found = tuple(self._bytes_ids(raw))
-            else:
-                open_ = _OpenPiece(self)
-                found = (*open_.feed(raw), *open_.close())
+            raw, open_ = piece.encode("utf-8"), _OpenPiece(self)
+            found = (*open_.feed(raw), *open_.close())
             if len(raw) <= REMEMBERED_BYTES:
                 if len(self._known) >= REMEMBERED:
                     self._known.clear()
                 self._known[piece] = found
         return found
 
+    def pieces_ids(self, pieces: Iterable[str]) -> list[int]:
+        known, out = self._known, []
+        for p in pieces:
+            out += known.get(p) or self.piece_ids(p)
+        return out
+
     # Whole texts ---------------------------------------------------------------------------------------------------
 
-    def pieces(self, text: str) -> Iterator[str]:
-        return (m.group() for m in self._pieces.finditer(text))
+    def pieces(self, text: str) -> list[str]:
+        return self._pieces.findall(text)
 
     def stream(self, chunks: Iterable[str]) -> Iterator[int]:
         """ids of a text that comes in chunks, each as soon as it is stable."""
-        state, held = _OpenPiece(self), ""
-        mid = ""  # the class of the open piece that was handed on in part
+        t = Transducer(self)
         for chunk in chunks:
-            buffer = held + chunk
-            at, held = 0, ""
-            if mid:
-                at = _run(buffer, 0, mid)
-                over = at == len(buffer)
-                if mid == "s":  # its last character begins the next piece if anything but white space follows
-                    at -= 1
-                yield from state.feed(buffer[:at].encode("utf-8"))
-                if over:
-                    held = buffer[at:]
-                    continue
-                yield from state.close()
-                mid = ""
-            # A match may still change if it ends in the last two characters or could grow with the next chunk.
-            for m in self._pieces.finditer(buffer, at):
-                if m.end() > len(buffer) - 2:
-                    held = buffer[m.start() :]
-                    break
-                yield from self.piece_ids(m.group())
-            if len(held) > 2 + self.window:
-                # A run longer than the window: hand its start on as an open piece. White space keeps its last character.
-                kind = _kind(held[1] if held[0] == " " else held[0])
-                if _run(held, int(kind != "s" and held[0] == " "), kind) == len(held):
-                    keep = int(kind == "s")
-                    yield from state.feed(held[: len(held) - keep].encode("utf-8"))
-                    mid, held = kind, held[len(held) - keep :]
-        if mid == "s":
-            yield from state.feed(held.encode("utf-8"))
-            held = ""
-        for piece in self.pieces(held):
-            yield from self.piece_ids(piece)
-        yield from state.close()
+            yield from t.feed(chunk)
+        yield from t.close()
 
     def ids(self, text: str | None) -> list[int]:
         """Null and empty texts have no ids: an empty list."""
-        if not text:
-            return []
-        if len(text) <= CHUNK:
-            known, out = self._known, []
-            for p in self._pieces.findall(text):
-                out += known.get(p) or self.piece_ids(p)
-            return out
-        return list(self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK)))
+        return list(self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK))) if text else []
+
+
+class Transducer:
+    """The text transducer: takes chunks of a text as they come, gives the ids that no further character can change.
+
+    It holds the open end of what was read, or, of a run of one class that is longer than the window, the state of the
+    byte transducer.
+    """
+
+    def __init__(self, owner: Encoder):
+        self.owner, self._open, self._held = owner, _OpenPiece(owner), ""
+        self._mid = ""  # the class of the open piece that was handed on in part
+
+    def feed(self, chunk: str) -> list[int]:
+        o, out, buffer = self.owner, [], self._held + chunk
+        self._held = ""
+        if self._mid:
+            at = _run(buffer, 0, self._mid)
+            over = at == len(buffer)
+            if self._mid == "s":  # its last character begins the next piece if anything but white space follows
+                at -= 1
+            out += self._open.feed(buffer[:at].encode("utf-8"))
+            buffer = buffer[at:]
+            if over:
+                self._held = buffer
+                return out
+            out += self._open.close()
+            self._mid = ""
+        # A piece may still change if it ends in the last two characters or could grow with the next chunk.
+        pieces, tail = o.pieces(buffer), 0
+        while pieces and tail < 2:
+            tail += len(pieces.pop())
+        out += o.pieces_ids(pieces)
+        held = buffer[len(buffer) - tail :]
+        if len(held) > 2 + o.window:
+            # A run longer than the window: hand its start on as an open piece. White space keeps its last character.
+            kind = _kind(held[1] if held[0] == " " else held[0])
+            if _run(held, int(kind != "s" and held[0] == " "), kind) == len(held):
+                keep = int(kind == "s")
+                out += self._open.feed(held[: len(held) - keep].encode("utf-8"))
+                self._mid, held = kind, held[len(held) - keep :]
+        self._held = held
+        return out
+
+    def close(self) -> list[int]:
+        out = []
+        if self._mid == "s":
+            out += self._open.feed(self._held.encode("utf-8"))
+            self._held = ""
+        # Where a run was handed on, what is held of it ends it: the run's ids come first.
+        if self._mid:
+            out += self._open.close()
+            self._mid = ""
+        out += self.owner.pieces_ids(self.owner.pieces(self._held))
+        self._held = ""
+        return out
 
 
 class _OpenPiece:
