@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -80,7 +81,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     return (F.broadcast(df) if small else df), small
 
 
+#: Plans that hold one of these have exchanges, whose partitions the planner chooses when it runs them.
+_EXCHANGING = re.compile(r"\b(?:Join|Aggregate|Window|WindowGroupLimit|Sort|Repartition|RepartitionByExpression|RebalancePartitions|Deduplicate|Distinct|Intersect|Except)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it has fewer partitions than those, as a table of one small file has; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores if it only reads fewer splits of files than those, as a table of one small file; else as it is.
+
+    Splits are estimated from the sizes of fewer files than there are cores; nothing is run or planned physically.
+    """
+    spark = df.sparkSession
+    if df.isStreaming or _EXCHANGING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    sizes = []
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        sizes.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen())
+    number = lambda k: int(spark._jsparkSession.sessionState().conf().getConf(getattr(spark._jvm.org.apache.spark.sql.internal.SQLConf, k)()))
+    most, opening = number("FILES_MAX_PARTITION_BYTES"), number("FILES_OPEN_COST_IN_BYTES")
+    split = min(most, max(opening, (sum(sizes) + len(sizes) * opening) // cores))
+    return df.repartition(cores) if sum(-(-n // split) for n in sizes) < cores else df
