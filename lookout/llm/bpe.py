@@ -287,15 +287,15 @@ def with_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
 
 def round_trips(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
-    """``keep``, ``n_tokens`` and ``same``: whether the decoder gives back the text from ids fed in small portions."""
+    """``keep``, ``n_bytes`` that the decoder gives from ids fed in small portions, and whether they are the text's (``same``)."""
 
     def check(e: Encoder, text_: str | None) -> dict:
         ids, decoder = e.ids(text_), Decoder(e.ranks)
         back = "".join(decoder.feed(ids[i : i + 7]) for i in range(0, len(ids), 7)) + decoder.close()
-        return {"n_tokens": len(ids), "same": back == (text_ or "")}
+        return {"n_bytes": len(back.encode("utf-8")), "same": back == (text_ or "")}
 
-    flat = _mapped(docs, text, keep, "trip struct<n_tokens:bigint,same:boolean>", check, folder, name)
-    return flat.select(*keep, "trip.n_tokens", "trip.same")
+    flat = _mapped(docs, text, keep, "trip struct<n_bytes:bigint,same:boolean>", check, folder, name)
+    return flat.select(*keep, "trip.n_bytes", "trip.same")
 
 
 def _mapped(docs: DataFrame, text: str, keep: tuple[str, ...], out: str, f, folder: str, name: str) -> DataFrame:
