@@ -9,9 +9,24 @@ from pyspark.sql import functions as F
 UNSAFE = r"[\p{Cc}\p{Cf}\x{2028}\x{2029}]"
 
 
-def sanitize(text: Column, most: int = 4096) -> Column:
-    """Tabs and line ends become spaces, other unsafe characters go, and the rest is capped."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[\t\n\r]", " "), UNSAFE, ""), 1, most)
+def bound(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once and kept once in the plan, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def sanitize(text: Column, most: int | None = 4096) -> Column:
+    """Tabs and line ends become spaces, other unsafe characters go, and the rest is capped, unless ``most`` is None."""
+    safe = F.regexp_replace(F.regexp_replace(text, r"[\t\n\r]", " "), UNSAFE, "")
+    return safe if most is None else F.substring(safe, 1, most)
+
+
+def escape_terminal(text: Column) -> Column:
+    """Text fit to print: control, format and separator characters as \\xNN, \\uNNNN or \\UNNNNNNNN; the rest as it is."""
+    chars = F.split(text, "")
+    code = lambda c, n: F.lpad(F.lower(F.hex(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))), n, "0")
+    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+    shown = lambda c: F.when(~c.rlike(r"\A[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]\z"), c).when(point(c) < 256, F.concat(F.lit("\\x"), code(c, 2))).when(point(c) < 65536, F.concat(F.lit("\\u"), code(c, 4))).otherwise(F.concat(F.lit("\\U"), code(c, 8)))
+    return F.when(text.rlike(UNSAFE), F.array_join(F.transform(chars, shown), "")).otherwise(text)
 
 
 def neutralize_csv(text: Column) -> Column:
@@ -101,9 +116,9 @@ IPV4_CLASSES = (
 )
 
 
-def ipv4_class(ip: Column) -> Column:
-    """The class of a blocked IPv4 address, ``public`` otherwise; null if it isn't an IPv4 address."""
-    n, out = ipv4_number(ip), None
+def class_of_ipv4(n: Column) -> Column:
+    """The class of an IPv4 address given as a long; null for null."""
+    out = None
     for base, bits, name in IPV4_CLASSES:
         a, b, c, d = (int(x) for x in base.split("."))
         first = a << 24 | b << 16 | c << 8 | d
@@ -112,6 +127,11 @@ def ipv4_class(ip: Column) -> Column:
     return F.when(n.isNotNull(), out.otherwise("public"))
 
 
+def ipv4_class(ip: Column) -> Column:
+    """The class of a blocked IPv4 address, ``public`` otherwise; null if it isn't an IPv4 address."""
+    return class_of_ipv4(ipv4_number(ip))
+
+
 def backoff(failures: Column, first: float, most: float) -> Column:
     return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2.0), F.least(failures, F.lit(30))))
 

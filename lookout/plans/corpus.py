@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lookout.functions import text
+from lookout.functions import net, text
 from lookout.operators import joins, latest, merge
-from lookout.session import materialize
+from lookout.session import broadcast_if_small, materialize
 from lookout.sources.tables import table
 
 
+#: One address for every range that address_classes tells apart, and texts that are none.
+ADDRESSES = (
+    "0.1.2.3", "10.9.8.7", "100.64.0.1", "127.0.0.1", "169.254.1.1", "172.16.0.1", "172.32.0.1", "192.0.0.8", "192.0.2.1", "192.88.99.1", "192.168.1.1", "198.18.0.1", "198.51.100.2",
+    "203.0.113.9", "224.0.0.1", "255.255.255.255", "240.0.0.1", "8.8.8.8", "::", "::1", "64:ff9b:1::5", "100::1", "2001::5", "2001:db8::1", "fc00::1", "fe80::1", "fec0::1", "ff02::1",
+    "::ffff:10.0.0.1", "::ffff:8.8.8.8", "64:ff9b::a00:1", "::ffff:0:808:808", "::a00:1", "2002:a00:1::", "2002:808:808::1", "2606:4700::1", "1.2.3", "::1::", "x",
+)
+
+
 def _docs(spark, d):
     return table(spark, d, "documents")
 
 
 def sanitized(spark, d):
-    """Texts made safe to store: lengths before and after and a digest of the result."""
-    clean = text.sanitize(F.col("text"), 1_000_000)
+    """Whole texts made safe to store: lengths before and after and a digest of the result."""
+    clean = text.sanitize(F.col("text"), None)
     return _docs(spark, d).where("text is not null").select("doc_id", F.length("text").alias("n"), F.length(clean).alias("kept"), F.md5(clean).alias("digest"))
 
 
@@ -44,12 +52,6 @@ def stable_sample(spark, d):
     return _docs(spark, d).where(text.sampled(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")), 0.1)).select("doc_id")
 
 
-def site_rollup(spark, d):
-    """Per site documents, sources and captures, with the share of all."""
-    per = _docs(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"), F.sum(F.length("text")).alias("chars"))
-    return per.where("n >= 2")
-
-
 def recaptured(spark, d):
     """Texts that were captured more than once: digest, copies, first and last document."""
     docs = _docs(spark, d).where("text is not null and text <> ''")
@@ -70,11 +72,6 @@ def char_quota(spark, d):
     return skipping(docs, ["site"], ["captured_at", "doc_id"], "chars", 20_000).where("accepted").select("site", "doc_id")
 
 
-def wrong_lengths(spark, d):
-    """Documents whose n_chars isn't the length of the text."""
-    return _docs(spark, d).where(~F.coalesce(F.length("text"), F.lit(-1)).eqNullSafe(F.coalesce(F.col("n_chars").cast("int"), F.lit(-1)))).select("doc_id", "n_chars", F.length("text").alias("chars"))
-
-
 def label_pivot(spark, d):
     """Labels of documents, cleaned, one column per annotator."""
     lab = table(spark, d, "subject_labels").where("subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("s"), "annotator")
@@ -82,18 +79,6 @@ def label_pivot(spark, d):
     return lab.groupBy("doc_id").agg(*[said(who).alias(who) for who in ("a1", "a2", "a3")])
 
 
-def label_agreement(spark, d):
-    """Subjects by number of labels and of documents that exist."""
-    lab = table(spark, d, "subject_labels").where("subject is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).distinct()
-    known = lab.join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
-    all_ = lab.groupBy("subject").agg(F.count(F.lit(1)).alias("labels"))
-    return all_.join(known.groupBy("subject").agg(F.count(F.lit(1)).alias("known")), "subject", "left").select("subject", "labels", F.coalesce("known", F.lit(0)).alias("known"))
-
-
-def brand_strengths(spark, d):
-    return table(spark, d, "brand_terms").groupBy("brand", "strength").agg(F.count(F.lit(1)).alias("terms"))
-
-
 def repeated_phrases(spark, d):
     """Phrases that several rows hold, letter case, blanks and hyphens aside."""
     return table(spark, d, "brand_terms").groupBy(F.regexp_replace(F.lower("phrase"), "[ -]", "").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.min("term_id").alias("first_term")).where("n > 1")
@@ -113,7 +98,8 @@ def corpus_rollup(spark, d):
 def corpus_revalidated(spark, d):
     """Entries with the reason why they would be refused now; null if none."""
     brands = table(spark, d, "brand_terms").select(F.col("brand").alias("_brand")).distinct()
-    rows = table(spark, d, "reference_corpus").join(F.broadcast(brands), F.col("brand") == F.col("_brand"), "left")
+    brands, _ = broadcast_if_small(materialize(brands, "brands"))
+    rows = table(spark, d, "reference_corpus").join(brands, F.col("brand") == F.col("_brand"), "left")
     reason = F.when(F.col("_brand").isNull(), "unknown_brand").when(F.col("sha256").isNull(), "no_digest").when(~F.coalesce("active", F.lit(False)), "retired").when((F.col("width") <= 0) | (F.col("height") <= 0), "no_size")
     return rows.select("id", reason.alias("reason"))
 
@@ -126,12 +112,6 @@ def corpus_retired(spark, d):
     return merge.retired(marked, marked.where("h = last"), ["reference_page", "sha256"], F.col("h") < F.col("last")).select("id", "reference_page")
 
 
-def shared_sizes(spark, d):
-    """Sizes in pixels that several entries have, with their kinds."""
-    c = table(spark, d, "reference_corpus").where("width > 0 and height > 0")
-    return c.groupBy("width", "height").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")).where("n > 1")
-
-
 def closest_references(spark, d):
     """For entries whose id is divisible by 50 the five closest active ones of all brands: equal sha256 first, then fewest differing bits, then id.
 
@@ -170,9 +150,9 @@ def host_owner(spark, d):
 
 
 def phrase_contained(spark, d):
-    """First labels without hyphens that contain a weak phrase of a brand."""
+    """First labels without hyphens that contain a weak phrase of a brand, phrases of any length."""
     log = table(spark, d, "discovery_log").where("name is not null").select("delivery_id", F.regexp_replace(F.regexp_extract(F.lower("name"), r"\A(?:\*\.)?([^.]*)", 1), "-", "").alias("label"))
-    terms = table(spark, d, "brand_terms").where("strength = 'weak'").select(F.lower(F.trim("phrase")).alias("phrase"), "brand").where("length(phrase) > 3").distinct()
+    terms = table(spark, d, "brand_terms").where("strength = 'weak'").select(F.lower(F.trim("phrase")).alias("phrase"), "brand").where("phrase <> ''").distinct()
     return joins.contains_join(log, "label", terms, "phrase").select("delivery_id", F.col("right.brand").alias("brand"), F.col("right.phrase").alias("phrase"))
 
 
@@ -202,10 +182,12 @@ def brand_mentions(spark, d):
 
 
 def address_classes(spark, d):
-    """Addresses that sweeps saw, by class."""
+    """Addresses that sweeps saw, and a fixed one of every other class, by class."""
     log = table(spark, d, "discovery_log").where("source = 'dnstwist'")
     ips = log.select(F.explode(F.from_json(F.get_json_object("context_json", "$.dns.dns_a"), "array<string>")).alias("ip"))
-    return ips.groupBy(text.ipv4_class(F.col("ip")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ip").alias("addresses"))
+    fixed = F.explode(F.array(*[F.lit(x) for x in ADDRESSES]))
+    rows = ips.unionByName(spark.range(1).select(fixed.alias("ip")))
+    return rows.groupBy(net.address_class(F.col("ip")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ip").alias("addresses"))
 
 
 def list_caps(spark, d):
@@ -216,62 +198,77 @@ def list_caps(spark, d):
 
 
 def corpus_digest(spark, d):
-    """A digest of the set of active images per brand: the exclusive or of the first 60 bits of their hashes merges in any order."""
+    """A version of the set of active images per brand: the sha256 of its sorted hashes.
+
+    The hashes of a brand are sorted within 256 buckets of their first byte, and the digest is taken over the buckets'
+    digests, so no task holds more than a bucket of a brand.
+    """
     c = table(spark, d, "reference_corpus").where("active and sha256 is not null and brand is not null").select("brand", F.lower("sha256").alias("sha")).distinct()
-    return c.groupBy("brand").agg(F.count(F.lit(1)).alias("images"), F.bit_xor(F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")).alias("digest"))
+    buckets = c.groupBy("brand", F.substring("sha", 1, 2).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), "\n"), 256).alias("part"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), "\n")
+    return buckets.groupBy("brand").agg(F.sum("n").alias("images"), F.sha2(parts, 256).alias("digest"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        sanitized, csv_neutralized, sentence_counts, numbers_found, stable_ids, stable_sample, site_rollup, recaptured, latest_capture, char_quota, wrong_lengths,
-        label_pivot, label_agreement, brand_strengths, repeated_phrases, brands_without_references, corpus_rollup, corpus_revalidated, corpus_retired, shared_sizes,
+        sanitized, csv_neutralized, sentence_counts, numbers_found, stable_ids, stable_sample, recaptured, latest_capture, char_quota,
+        label_pivot, repeated_phrases, brands_without_references, corpus_rollup, corpus_revalidated, corpus_retired,
         closest_references, page_hosts, host_owner, phrase_contained, phrase_fuzzy, brand_mentions, address_classes, list_caps, corpus_digest,
     )
 }
 
 _LABEL = "regexp_replace(regexp_extract(lower(name), '^(\\*\\.)?([^.]*)', 2), '-', '', 'g')"
 _HOSTOF = "nullif(lower(regexp_replace(regexp_replace(regexp_extract({u}, '^\\s*[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#\\\\]*)', 1), '^.*@', ''), ':\\d*$', '')), '')"
-_BITS = "bit_count(xor(CAST('0x' || {a} AS UBIGINT), CAST('0x' || {b} AS UBIGINT)))"
 
 ORACLE = {
-    "sanitized": r"SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(c) AS INTEGER) AS kept, md5(c) AS digest FROM (SELECT doc_id, text, substr(regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\p{Cc}\p{Cf}\x{2028}\x{2029}]', '', 'g'), 1, 1000000) AS c FROM documents WHERE text IS NOT NULL)",
-    "csv_neutralized": r"SELECT doc_id, CASE WHEN regexp_matches(h, '^([\t\r\n]|[\s\p{Z}]*[=+@-])') THEN chr(39) || h ELSE h END AS cell FROM (SELECT doc_id, coalesce(substr(text, 1, 40), '') AS h FROM documents)",
+    "sanitized": r"SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(c) AS INTEGER) AS kept, md5(c) AS digest FROM (SELECT doc_id, text, (regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\p{Cc}\p{Cf}\x{2028}\x{2029}]', '', 'g')) AS c FROM documents WHERE text IS NOT NULL)",
+    "csv_neutralized": r"SELECT doc_id, CASE WHEN regexp_matches(h, '^([\t\r\n]|[\s\p{Z}]*[=+@-])') THEN chr(39) || h ELSE h END AS cell FROM (SELECT doc_id, coalesce(text, '') AS h FROM documents)",
     "stable_sample": "SELECT doc_id FROM documents WHERE CAST(CAST('0x' || substr(sha256('sample:' || doc_id), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 < 0.1",
-    "address_classes": """WITH a AS (SELECT unnest(CAST(json_extract(context_json, '$.dns.dns_a') AS VARCHAR[])) AS ip FROM discovery_log WHERE source = 'dnstwist' AND json_valid(context_json))
-SELECT CASE WHEN starts_with(ip, '192.0.2.') OR starts_with(ip, '198.51.100.') OR starts_with(ip, '203.0.113.') THEN 'documentation' END AS class, count(*) AS n, count(DISTINCT ip) AS addresses FROM a GROUP BY 1""",
+    "address_classes": """WITH a AS (SELECT unnest(CAST(json_extract(context_json, '$.dns.dns_a') AS VARCHAR[])) AS ip FROM discovery_log WHERE source = 'dnstwist' AND json_valid(context_json)),
+c AS (SELECT ip, 'documentation' AS class FROM a WHERE starts_with(ip, '192.0.2.') OR starts_with(ip, '198.51.100.') OR starts_with(ip, '203.0.113.')
+UNION ALL VALUES ('0.1.2.3', 'unspecified'), ('10.9.8.7', 'private'), ('100.64.0.1', 'cgnat'), ('127.0.0.1', 'loopback'), ('169.254.1.1', 'link_local'), ('172.16.0.1', 'private'), ('172.32.0.1', 'public'),
+  ('192.0.0.8', 'reserved'), ('192.0.2.1', 'documentation'), ('192.88.99.1', 'reserved'), ('192.168.1.1', 'private'), ('198.18.0.1', 'benchmarking'), ('198.51.100.2', 'documentation'),
+  ('203.0.113.9', 'documentation'), ('224.0.0.1', 'multicast'), ('255.255.255.255', 'broadcast'), ('240.0.0.1', 'reserved'), ('8.8.8.8', 'public'), ('::', 'unspecified'), ('::1', 'loopback'),
+  ('64:ff9b:1::5', 'nat64_local'), ('100::1', 'reserved'), ('2001::5', 'teredo'), ('2001:db8::1', 'documentation'), ('fc00::1', 'unique_local'), ('fe80::1', 'link_local'), ('fec0::1', 'site_local'),
+  ('ff02::1', 'multicast'), ('::ffff:10.0.0.1', 'ipv4_mapped:private'), ('::ffff:8.8.8.8', 'public'), ('64:ff9b::a00:1', 'nat64:private'), ('::ffff:0:808:808', 'ipv4_translated'),
+  ('::a00:1', 'ipv4_compatible:private'), ('2002:a00:1::', '6to4:private'), ('2002:808:808::1', '6to4'), ('2606:4700::1', 'public'), ('1.2.3', NULL), ('::1::', NULL), ('x', NULL))
+SELECT class, count(*) AS n, count(DISTINCT ip) AS addresses FROM c GROUP BY 1""",
+    "sentence_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS INTEGER) AS sentences,
+  CAST(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS INTEGER) AS words FROM documents WHERE text IS NOT NULL""",
+    "numbers_found": """WITH n AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 5), ',') AS numbers FROM n""",
+    "char_quota": """WITH RECURSIVE o AS (SELECT site, doc_id, coalesce(length(text), 0) AS chars, row_number() OVER (PARTITION BY site ORDER BY captured_at ASC NULLS FIRST, doc_id) AS n FROM documents WHERE site IS NOT NULL),
+w AS (SELECT site, doc_id, n, chars <= 20000 AS ok, 20000 - CASE WHEN chars <= 20000 THEN chars ELSE 0 END AS room FROM o WHERE n = 1
+  UNION ALL SELECT o.site, o.doc_id, o.n, o.chars <= w.room, w.room - CASE WHEN o.chars <= w.room THEN o.chars ELSE 0 END FROM w JOIN o ON o.site = w.site AND o.n = w.n + 1)
+SELECT site, doc_id FROM w WHERE ok""",
     "stable_ids": "SELECT doc_id, sha256(coalesce(source, '') || chr(31) || coalesce(site, '') || chr(31) || CAST(doc_id AS VARCHAR)) AS event_id FROM documents",
-    "site_rollup": "SELECT site, count(*) AS n, count(DISTINCT source) AS sources, min(captured_at) AS first_at, max(captured_at) AS last_at, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY site HAVING count(*) >= 2",
     "recaptured": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1 HAVING count(*) > 1",
     "latest_capture": "SELECT case_id, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY captured_at DESC NULLS LAST, doc_id DESC) AS rn FROM documents WHERE case_id IS NOT NULL) WHERE rn = 1",
-    "wrong_lengths": "SELECT doc_id, n_chars, CAST(length(text) AS INTEGER) AS chars FROM documents WHERE coalesce(length(text), -1) <> coalesce(n_chars, -1)",
     "label_pivot": """SELECT doc_id, string_agg(DISTINCT s, ',' ORDER BY s) FILTER (WHERE annotator = 'a1') AS a1, string_agg(DISTINCT s, ',' ORDER BY s) FILTER (WHERE annotator = 'a2') AS a2, string_agg(DISTINCT s, ',' ORDER BY s) FILTER (WHERE annotator = 'a3') AS a3
 FROM (SELECT doc_id, lower(trim(subject)) AS s, annotator FROM subject_labels WHERE subject IS NOT NULL) GROUP BY doc_id""",
-    "label_agreement": "SELECT subject, count(*) AS labels, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM documents)) AS known FROM (SELECT DISTINCT doc_id, lower(trim(subject)) AS subject FROM subject_labels WHERE subject IS NOT NULL) GROUP BY subject",
-    "brand_strengths": "SELECT brand, strength, count(*) AS terms FROM brand_terms GROUP BY ALL",
     "repeated_phrases": "SELECT regexp_replace(lower(phrase), '[ -]', '', 'g') AS phrase, count(*) AS n, min(term_id) AS first_term FROM brand_terms GROUP BY 1 HAVING count(*) > 1",
-    "brands_without_references": "SELECT DISTINCT brand FROM brand_terms WHERE brand NOT IN (SELECT brand FROM reference_corpus WHERE brand IS NOT NULL AND kind = 'favicon' AND width = 32)",
+    "brands_without_references": "SELECT DISTINCT brand FROM brand_terms WHERE brand NOT IN (SELECT brand FROM reference_corpus WHERE brand IS NOT NULL)",
     "corpus_rollup": "SELECT brand, kind, count(*) AS n, count(*) FILTER (WHERE active) AS active, count(DISTINCT lower(sha256)) AS images FROM reference_corpus GROUP BY ALL",
     "corpus_revalidated": """SELECT id, CASE WHEN brand IS NULL OR brand NOT IN (SELECT brand FROM brand_terms) THEN 'unknown_brand' WHEN sha256 IS NULL THEN 'no_digest'
   WHEN NOT coalesce(active, false) THEN 'retired' WHEN width <= 0 OR height <= 0 THEN 'no_size' END AS reason FROM reference_corpus""",
     "corpus_retired": """WITH m AS (SELECT *, date_trunc('hour', collected_at) AS h, max(date_trunc('hour', collected_at)) OVER (PARTITION BY reference_page) AS last FROM reference_corpus WHERE reference_page IS NOT NULL AND collected_at IS NOT NULL)
 SELECT id, reference_page FROM m a WHERE h < last AND NOT EXISTS (SELECT 1 FROM m b WHERE b.h = b.last AND b.reference_page = a.reference_page AND b.sha256 IS NOT DISTINCT FROM a.sha256)""",
-    "shared_sizes": "SELECT width, height, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM reference_corpus WHERE width > 0 AND height > 0 GROUP BY ALL HAVING count(*) > 1",
-    "closest_references": f"""WITH c AS (SELECT * FROM reference_corpus WHERE length(phash) = 16 AND length(dhash) = 16 AND luma_stddev >= 12 AND active),
-p AS (SELECT q.id AS query, e.id AS entry, CAST({_BITS.format(a="q.phash", b="e.phash")} + {_BITS.format(a="q.dhash", b="e.dhash")} AS INTEGER) AS bits FROM c q JOIN c e ON q.brand = e.brand AND q.id <> e.id WHERE q.id % 50 = 0)
-SELECT query, place, entry, bits FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bits, entry) AS place FROM p) WHERE place <= 5""",
+    "closest_references": """WITH c AS (SELECT id, nullif(lower(trim(sha256)), '') AS sha, CAST('0x' || lpad(trim(phash), 16, '0') AS UBIGINT) AS p, CAST('0x' || lpad(trim(dhash), 16, '0') AS UBIGINT) AS d,
+  luma_stddev >= 12 AND width > 0 AND height > 0 AS ok, width / height AS aspect, coalesce(active, false) AS active FROM reference_corpus),
+p AS (SELECT q.id AS query, e.id AS entry, coalesce(q.sha = e.sha, false) AS same, CAST(bit_count(xor(q.p, e.p)) + bit_count(xor(q.d, e.d)) AS INTEGER) AS bits,
+  q.ok AND e.ok AND greatest(q.aspect, e.aspect) <= 1.35 * least(q.aspect, e.aspect) AS fit FROM c q JOIN c e ON q.id <> e.id WHERE q.id % 50 = 0 AND e.active)
+SELECT query, place, entry, bits FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY same DESC, bits ASC NULLS LAST, entry) AS INTEGER) AS place FROM p WHERE same OR (fit AND bits IS NOT NULL)) WHERE place <= 5""",
     "page_hosts": f"SELECT host, count(*) AS n FROM (SELECT {_HOSTOF.format(u='reference_page')} AS host FROM reference_corpus UNION ALL SELECT {_HOSTOF.format(u='source')} FROM reference_corpus) WHERE host IS NOT NULL GROUP BY host",
     "host_owner": f"""WITH o AS (SELECT regexp_replace({_HOSTOF.format(u="reference_page")}, '^www\\.', '') AS domain, min(brand) AS brand FROM reference_corpus WHERE brand IS NOT NULL AND reference_page IS NOT NULL GROUP BY 1),
 l AS (SELECT delivery_id, regexp_replace(regexp_replace(lower(name), '^\\*\\.', ''), '\\.+$', '') AS host FROM discovery_log WHERE name IS NOT NULL)
 SELECT delivery_id, brand, domain FROM (SELECT l.delivery_id, o.brand, o.domain, row_number() OVER (PARTITION BY l.delivery_id ORDER BY length(o.domain) DESC) AS rn FROM l JOIN o ON l.host = o.domain OR ends_with(l.host, '.' || o.domain)) WHERE rn = 1""",
     "phrase_contained": f"""WITH l AS (SELECT delivery_id, {_LABEL} AS label FROM discovery_log WHERE name IS NOT NULL),
-t AS (SELECT DISTINCT lower(trim(phrase)) AS phrase, brand FROM brand_terms WHERE strength = 'weak' AND length(lower(trim(phrase))) > 3)
+t AS (SELECT DISTINCT lower(trim(phrase)) AS phrase, brand FROM brand_terms WHERE strength = 'weak' AND trim(phrase) <> '')
 SELECT delivery_id, brand, phrase FROM l JOIN t ON contains(label, phrase)""",
-    "phrase_fuzzy": f"""WITH l AS (SELECT DISTINCT {_LABEL} AS label FROM discovery_log WHERE name IS NOT NULL),
-t AS (SELECT DISTINCT lower(regexp_replace(phrase, '[ \\-]', '', 'g')) AS phrase, brand FROM brand_terms),
-p AS (SELECT label, brand, phrase, CAST(levenshtein(label, phrase) AS INTEGER) AS distance FROM l JOIN t ON length(label) BETWEEN 8 AND 24 AND length(phrase) BETWEEN 8 AND 24 AND abs(length(label) - length(phrase)) <= 2 WHERE regexp_full_match(phrase, '[a-z]+') AND regexp_full_match(label, '[a-z0-9]+'))
-SELECT label, brand, phrase, distance FROM (SELECT *, row_number() OVER (PARTITION BY label, brand ORDER BY distance, phrase) AS rn FROM p WHERE distance BETWEEN 1 AND 2) WHERE rn = 1""",
     "brand_mentions": "WITH b AS (SELECT DISTINCT brand, brand_name FROM brand_terms WHERE brand_name IS NOT NULL) SELECT doc_id, brand, CAST((length(text) - length(replace(text, brand_name, ''))) // length(brand_name) AS INTEGER) AS mentions FROM documents JOIN b ON contains(text, brand_name)",
     "list_caps": "SELECT site, array_to_string(list_slice(list(source ORDER BY seen), 1, 3), ',') AS sources FROM (SELECT site, source, min(doc_id) AS seen FROM documents WHERE site IS NOT NULL AND source IS NOT NULL GROUP BY ALL) GROUP BY site",
-    "corpus_digest": "SELECT brand, count(*) AS images, bit_xor(CAST('0x' || substr(sha, 1, 15) AS BIGINT)) AS digest FROM (SELECT DISTINCT brand, lower(sha256) AS sha FROM reference_corpus WHERE active AND sha256 IS NOT NULL AND brand IS NOT NULL) GROUP BY brand",
+    "corpus_digest": """WITH c AS (SELECT DISTINCT brand, lower(sha256) AS sha FROM reference_corpus WHERE active AND sha256 IS NOT NULL AND brand IS NOT NULL),
+b AS (SELECT brand, substr(sha, 1, 2) AS b, count(*) AS n, sha256(string_agg(sha, chr(10) ORDER BY sha)) AS part FROM c GROUP BY ALL)
+SELECT brand, CAST(sum(n) AS BIGINT) AS images, sha256(string_agg(part, chr(10) ORDER BY b)) AS digest FROM b GROUP BY brand""",
 }

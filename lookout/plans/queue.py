@@ -78,11 +78,17 @@ def claim_order(spark, d, running_cap=2):
 
 
 def backlog_admission(spark, d):
-    """Waiting rows per group against the allowance of their class: admitted or left over."""
+    """Per group and class the waiting rows within the allowance, in order, with how many more wait.
+
+    Only a group's first rows reach the ranking; the others are counted.
+    """
     rows = _jobs(spark, d).where("status = 'pending'").withColumn("k", effective_group(F.col("group_key"), F.col("payload_json"))).where("k is not null")
     allow = F.when(F.col("queue_class") == "strong", 16).otherwise(4)
-    got = budget.admitted(rows, ["stage", "k", "queue_class"], [F.col("created_at"), F.col("id")], allow)
-    return got.select("id", "stage", "k", "queue_class", "place", "admitted")
+    group = ["stage", "k", "queue_class"]
+    first = latest.top_per_key(rows, group, [F.col("created_at"), F.col("id")], 16, "place").where(F.col("place") <= allow)
+    counted = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.col("stage").eqNullSafe(F.col("_stage")) & F.col("k").eqNullSafe(F.col("_k")) & F.col("queue_class").eqNullSafe(F.col("_queue_class"))
+    return first.join(counted, same).select("id", *group, "place", F.greatest(F.col("_n") - allow, F.lit(0)).alias("left_over"))
 
 
 def latest_job_per_key(spark, d):
@@ -193,7 +199,8 @@ p AS (SELECT *, row_number() OVER (PARTITION BY stage, kk ORDER BY rank, availab
 SELECT stage, kk AS k, id, rank, served FROM p WHERE place <= 2 - running ORDER BY rank, served ASC NULLS FIRST, available_at, id""",
     "backlog_admission": _ONE
     + """, p AS (SELECT id, stage, k, queue_class, row_number() OVER (PARTITION BY stage, k, queue_class ORDER BY created_at, id) AS place FROM j WHERE status = 'pending' AND k IS NOT NULL)
-SELECT *, place <= CASE WHEN queue_class = 'strong' THEN 16 ELSE 4 END AS admitted FROM p""",
+SELECT *, (SELECT greatest(count(*) - CASE WHEN p.queue_class = 'strong' THEN 16 ELSE 4 END, 0) FROM p o WHERE o.stage = p.stage AND o.k = p.k AND o.queue_class = p.queue_class) AS left_over
+FROM p WHERE place <= CASE WHEN queue_class = 'strong' THEN 16 ELSE 4 END""",
     "latest_job_per_key": "SELECT dedupe_key, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY id DESC, created_at DESC) AS rn FROM (SELECT DISTINCT dedupe_key, id, created_at FROM job_rows WHERE dedupe_key IS NOT NULL)) WHERE rn = 1",
     "prefer_failed": _ONE
     + "SELECT case_id, id, status, stage FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY (status = 'failed') DESC, id DESC) AS place FROM j WHERE case_id IS NOT NULL) WHERE place = 1",
@@ -213,7 +220,7 @@ SELECT case_id, stage, round, id, attempts FROM o WHERE place = 1 OR attempts IS
     + """, o AS (SELECT id, stage, case_id, last_error, status, last_value(last_error IGNORE NULLS) OVER (PARTITION BY stage, case_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM j WHERE case_id IS NOT NULL)
 SELECT id, stage, case_id, last_error, before FROM o WHERE status = 'failed'""",
     "json_filter": "SELECT DISTINCT id, CAST(json_extract_string(payload_json, '$.case_id') AS BIGINT) AS case_id, json_extract_string(payload_json, '$.registrable_domain') AS domain FROM job_rows WHERE CAST(json_extract_string(payload_json, '$.round') AS INTEGER) = 1 AND json_extract_string(payload_json, '$.registrable_domain') <> ''",
-    "trailing_day_jobs": f"SELECT stage, count(*) AS n FROM job_rows WHERE created_at > {_N} - INTERVAL 1 HOUR AND created_at <= {_N} GROUP BY stage",
+    "trailing_day_jobs": "SELECT stage, count(*) AS n FROM job_rows WHERE created_at > (SELECT max(created_at) FROM job_rows) - INTERVAL 24 HOUR GROUP BY stage",
     "open_attempt_budget": _ONE
     + "SELECT stage, id FROM (SELECT stage, id, sum(attempts) OVER (PARTITION BY stage ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS spent FROM j) WHERE spent <= 500",
 }
