@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookout.session import broadcast_if_small
+from lookout.functions.text import bound
+from lookout.session import broadcast_if_small, materialize
 
 try:
     import ahocorasick
@@ -29,15 +30,33 @@ def suffixes(host: Column, proper: bool = False) -> Column:
 def suffix_join(left: DataFrame, host: str, right: DataFrame, domain: str, exact: Column | None = None, proper: bool = False) -> DataFrame:
     """Left columns with the right columns whose ``domain`` the host equals or lies under; the longest one only.
 
-    Every host becomes its few suffixes and meets the domains by equality: a hash join, never a loop over all pairs.
-    ``exact``: a condition on right rows that match equal hosts only. Rows without a match are left out. Right rows of
-    the same domain: the smallest struct of their columns. Clashing names: the right columns come as ``right``, a struct.
+    ``exact``: a condition on right rows that match equal hosts only; ``proper``: equal hosts don't match. Rows without a
+    match are left out. Right rows of the same domain: the smallest struct of their columns. Clashing names: the right
+    columns come as ``right``, a struct.
+
+    Domains of n labels meet the host's last n labels by equality, one join for each n that domains have. Within the
+    broadcast's bounds no left row is shuffled; beyond them every host becomes its few suffixes, distinct hosts once.
     """
-    small, _ = broadcast_if_small(right.select(F.col(domain).alias("_domain"), (exact if exact is not None else F.lit(False)).alias("_exact"), F.struct(*right.columns).alias("right")))
-    tagged = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_suffix", F.explode(suffixes(F.col(host), proper)))
-    met = tagged.join(small, (F.col("_suffix") == F.col("_domain")) & (~F.col("_exact") | (F.col(host) == F.col("_domain"))))
-    best = met.groupBy("_row").agg(F.min(F.struct((-F.length("_domain")).alias("n"), F.col("right").alias("r"))).alias("_best"), *[F.first(c).alias(c) for c in left.columns])
-    return best.select(*left.columns, F.col("_best.r").alias("right"))
+    marked = right.where(F.col(domain).isNotNull()).select(F.col(domain).alias("_domain"), (exact if exact is not None else F.lit(False)).alias("_exact"), F.struct(*right.columns).alias("right"))
+    best = marked.groupBy("_domain").agg(F.min("right").alias("_own"), F.min(F.when(~F.coalesce("_exact", F.lit(False)), F.col("right"))).alias("_any"))
+    best = materialize(best.withColumn("_labels", F.size(F.split("_domain", r"\."))), "suffix-domains")
+    _, small = broadcast_if_small(best)
+    sizes = sorted((r[0] for r in best.select("_labels").distinct().collect()), reverse=True)
+    h, n_labels = F.col(host), F.size(F.split(host, r"\."))
+    found = lambda own, any_, at: F.when(h == at, F.lit(None) if proper else own).otherwise(any_)
+    if small:
+        out, picks = left, []
+        for n in sizes:
+            side = F.broadcast(best.where(F.col("_labels") == n).select(F.col("_domain").alias(f"_d{n}"), F.col("_own").alias(f"_o{n}"), F.col("_any").alias(f"_a{n}")))
+            out = out.join(side, (n_labels >= n) & (F.substring_index(h, ".", -n) == F.col(f"_d{n}")), "left")
+            picks.append(found(F.col(f"_o{n}"), F.col(f"_a{n}"), F.col(f"_d{n}")))
+        kind = best.schema["_own"].dataType
+        return out.withColumn("_right", F.coalesce(*picks) if picks else F.lit(None).cast(kind)).where("_right is not null").select(*left.columns, F.col("_right").alias("right"))
+    hosts = left.where(h.isNotNull()).select(h.alias("_host")).distinct()
+    met = hosts.withColumn("_suffix", F.explode(suffixes(F.col("_host"), proper))).join(best, F.col("_suffix") == F.col("_domain"))
+    met = met.withColumn("_right", F.when(F.col("_host") == F.col("_domain"), F.col("_own")).otherwise(F.col("_any"))).where("_right is not null")
+    longest = met.groupBy("_host").agg(F.max_by("_right", "_labels").alias("_right"))
+    return left.join(longest, h == F.col("_host")).select(*left.columns, F.col("_right").alias("right"))
 
 
 def find_all(text: Column, term: Column) -> Column:
@@ -59,48 +78,84 @@ def contains_join(left: DataFrame, text: str, terms: DataFrame, term: str, gram:
         patterns = sorted({r[0] for r in usable.select("_term").collect()})
         tagged = left.withColumn("_hit", F.explode(_contained(patterns)(F.col(text))))
         return tagged.join(keyed, F.col("_hit") == F.col("_term")).drop("_hit", "_term")
-    head = F.substr(F.col("_term"), F.lit(1), F.least(F.lit(gram), F.length("_term")))
-    keyed = usable.withColumn("_head", head)
+    # Texts stand aside under a digest while their short runs meet the terms' heads; each text is then searched once for
+    # the terms whose heads it holds.
+    heads = usable.select("_term").distinct().withColumn("_head", F.substr(F.col("_term"), F.lit(1), F.least(F.lit(gram), F.length("_term"))))
+    texts = left.where(F.length(text) > 0).select(F.col(text).alias("_text")).distinct().withColumn("_digest", F.sha2("_text", 256))
 
     def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
+        return F.transform(F.sequence(F.lit(1), F.length("_text")), lambda i: F.substr(F.col("_text"), i, F.lit(n)))
 
     grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, gram + 1)])))
-    tagged = left.withColumn("_gram", F.explode(grams))
-    return tagged.join(keyed, (F.col("_gram") == F.col("_head")) & F.contains(F.col(text), F.col("_term"))).drop("_gram", "_head", "_term")
+    held = texts.select("_digest", F.explode(grams).alias("_gram")).join(heads, F.col("_gram") == F.col("_head")).groupBy(F.col("_digest").alias("_d")).agg(F.collect_set("_term").alias("_terms"))
+    hits = texts.join(held, F.col("_digest") == F.col("_d")).select(F.col("_digest").alias("_of"), F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("_hit"))
+    return left.withColumn("_digest", F.sha2(text, 256)).join(hits, F.col("_digest") == F.col("_of")).join(usable, F.col("_hit") == F.col("_term")).drop("_digest", "_of", "_hit", "_term")
 
 
-def _contained(patterns: list[str]):
-    """An Arrow UDF: the different patterns that each text contains."""
+_AUTOMATA: dict[tuple[str, ...], object] = {}
+
 
-    def find(texts: pd.Series) -> pd.Series:
+def _automaton(patterns: tuple[str, ...]):
+    """One automaton for a list of patterns in a worker, however many batches it reads."""
+    if patterns not in _AUTOMATA:
         a = ahocorasick.Automaton()
         for p in patterns:
             a.add_word(p, p)
         a.make_automaton()
-        return texts.map(lambda t: sorted({p for _, p in a.iter(t)}) if t and patterns else [])
+        _AUTOMATA.clear()
+        _AUTOMATA[patterns] = a
+    return _AUTOMATA[patterns]
+
+
+def _contained(patterns: list[str]):
+    """An Arrow UDF: the different patterns that each text contains."""
+    listed = tuple(patterns)
+
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        a = _automaton(listed)
+        for batch in texts:
+            yield batch.map(lambda t: sorted({p for _, p in a.iter(t)}) if t and listed else [])
 
     return F.pandas_udf(find, "array<string>")
 
 
-def deletions(word: Column, most: int = 2) -> Column:
-    """A word and what up to ``most`` deletions leave of it: two words within that edit distance share one."""
-    out = F.array(word)
-    for _ in range(most):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))))))
-    return out
+def _piece_keys(size: Column, most: int, piece) -> Column:
+    """Keys of the most + 1 pieces of a term of a size: size, number and the text that ``piece`` (start, length) gives."""
+    cuts = [F.floor(size * i / (most + 1)).cast("int") for i in range(most + 2)]
+    key = lambda i: F.concat_ws(":", size.cast("string"), F.lit(i), piece(cuts[i], cuts[i + 1] - cuts[i]))
+    return F.array(*[key(i) for i in range(most + 1)])
+
+
+def term_pieces(term: Column, most: int = 2) -> Column:
+    """A term's pieces. A word within ``most`` edits holds one of them unchanged, moved by at most ``most`` places."""
+    return bound(term, lambda t: _piece_keys(F.length(t), most, lambda a, n: F.substr(t, a + 1, n)))
+
+
+def word_pieces(word: Column, most: int = 2) -> Column:
+    """What a word has where the pieces of terms of any size within ``most`` of its own would be: a number of keys that doesn't grow with the word."""
+
+    def keys(w: Column) -> Column:
+        moved = lambda by: lambda a, n: F.substr(w, F.greatest(a + by, F.lit(0)) + 1, n)
+        sizes = [F.length(w) + d for d in range(-most, most + 1)]
+        return F.array_distinct(F.flatten(F.array(*[F.when(s >= 0, _piece_keys(s, most, moved(by))).otherwise(F.array().cast("array<string>")) for s in sizes for by in range(-most, most + 1)])))
+
+    return bound(word, keys)
 
 
 def fuzzy_join(left: DataFrame, word: str, right: DataFrame, term: str, most: int = 2) -> DataFrame:
     """left x right within the edit distance, with ``distance`` (0 for equal); right columns as ``right``.
 
-    Symmetric deletion neighbourhoods make it an equi-join; the true distance is checked after it. Nothing is missed.
+    Pieces of terms meet the same places of words by equality, and the true distance is checked after it: nothing is
+    missed. Distinct words and terms meet, so repeats cost nothing, and the pairs join back by word and by term.
     """
-    l = left.where(F.col(word).isNotNull()).withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.explode(deletions(F.col(word), most)))
-    r = right.where(F.col(term).isNotNull()).select(F.struct(*right.columns).alias("right"), F.col(term).alias("_term"), F.monotonically_increasing_id().alias("_rrow"))
-    r, _ = broadcast_if_small(r.withColumn("_key", F.explode(deletions(F.col("_term"), most))).select("_key", "_term", "_rrow", "right"))
-    near = l.join(r, "_key").withColumn("distance", F.levenshtein(F.col(word), F.col("_term"), most)).where("distance >= 0")
-    return near.dropDuplicates(["_row", "_rrow"]).select(*left.columns, "right", "distance")
+    words = left.where(F.col(word).isNotNull()).select(F.col(word).alias("_word")).distinct().withColumn("_key", F.explode(word_pieces(F.col("_word"), most)))
+    terms = right.where(F.col(term).isNotNull()).select(F.col(term).alias("_term")).distinct().withColumn("_k", F.explode(term_pieces(F.col("_term"), most)))
+    terms, _ = broadcast_if_small(terms)
+    near = words.join(terms, F.col("_key") == F.col("_k")).select("_word", "_term").distinct()
+    near = near.withColumn("distance", F.levenshtein(F.col("_word"), F.col("_term"), most)).where("distance >= 0")
+    pairs, _ = broadcast_if_small(materialize(near, "fuzzy-pairs"))
+    whole = right.select(F.struct(*right.columns).alias("right"), F.col(term).alias("_rterm"))
+    return left.join(pairs, F.col(word) == F.col("_word")).join(whole, F.col("_term") == F.col("_rterm")).select(*left.columns, "right", "distance")
 
 
 def nearest_hashes(left: DataFrame, right: DataFrame, n: int, most_aspect: float, left_block: int = 2_000, right_block: int = 8_192) -> DataFrame:

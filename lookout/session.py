@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,19 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables that were written within it; take results out before."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for name in [p for p in _made if p not in before]:
+            _made.remove(name)
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
@@ -70,21 +85,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Plans that hold one of these have exchanges, whose partitions the planner chooses when it runs them.
+_EXCHANGING = re.compile(r"\b(?:Join|Aggregate|Window|WindowGroupLimit|Sort|Repartition|RepartitionByExpression|RebalancePartitions|Deduplicate|Distinct|Intersect|Except)\b")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:
     """``df`` with a broadcast hint if its counted rows and bytes are within the bounds, else as it is.
 
-    ``df`` should be cheap to read twice (a materialized or a small table): it is counted first.
+    It is counted first, so a frame that isn't cheap to read twice, one with exchanges, is written first.
     """
+    if _EXCHANGING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        df = materialize(df, "small-side")
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     small = rows <= max_rows and size <= max_bytes
     return (F.broadcast(df) if small else df), small
 
 
-#: Plans that hold one of these have exchanges, whose partitions the planner chooses when it runs them.
-_EXCHANGING = re.compile(r"\b(?:Join|Aggregate|Window|WindowGroupLimit|Sort|Repartition|RepartitionByExpression|RebalancePartitions|Deduplicate|Distinct|Intersect|Except)\b")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it only reads fewer splits of files than those, as a table of one small file; else as it is.
 

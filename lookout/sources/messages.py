@@ -8,15 +8,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "line bigint, value string"
 
 
 class MessageSource(DataSource):
-    """spark.read/readStream.format("certmessages").option("path", file); ``rows``: most per micro-batch, ``splits``: of a batch read.
-
-    A run with trigger availableNow takes one portion, so leave ``rows`` out for it.
+    """spark.read/readStream.format("certmessages").option("path", file); ``splits``: of a batch read; ``bytes``: of a split of a
+    micro-batch. The file must lie where all executors can open it.
     """
 
     @classmethod
@@ -29,8 +28,8 @@ class MessageSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Whole(self.options["path"], int(self.options.get("splits", 8)))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Tail(self.options["path"], int(self.options.get("rows", 1 << 62)))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Tail(self.options["path"], int(self.options.get("bytes", 64 << 20)))
 
 
 class _Range(InputPartition):
@@ -61,33 +60,36 @@ class _Whole(DataSourceReader):
                 yield at, line.rstrip(b"\r\n").decode("utf-8", "replace")
 
 
-class _Tail(SimpleDataSourceStreamReader):
-    """Whole lines from the byte offset on; an unfinished last line waits."""
+class _Tail(DataSourceStreamReader):
+    """Whole lines from the byte offset on, in byte ranges that executors read; an unfinished last line waits.
+
+    The driver only looks for the file's last line end.
+    """
 
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    def __init__(self, path: str, most: int):
+        self.path, self.most = path, most
+        self.whole = _Whole(path, 1)
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
-    def _lines(self, start: int, end: int | None):
-        out, at = [], start
+    def latestOffset(self) -> dict:
         with open(self.path, "rb") as f:
-            f.seek(start)
-            while (at < end) if end is not None else (len(out) < self.rows):
-                line = f.readline()
-                if not line.endswith(b"\n"):
-                    break
-                out.append((at, line.rstrip(b"\r\n").decode("utf-8", "replace")))
-                at += len(line)
-        return out, at
+            at = f.seek(0, os.SEEK_END)
+            while at > 0:
+                start = max(0, at - 65536)
+                f.seek(start)
+                found = f.read(at - start).rfind(b"\n")
+                if found >= 0:
+                    return {"at": start + found + 1}
+                at = start
+        return {"at": 0}
 
-    def read(self, start: dict):
-        rows, at = self._lines(start["at"], None)
-        return iter(rows), {"at": at}
+    def partitions(self, start: dict, end: dict):
+        return [_Range(i, min(end["at"], i + self.most)) for i in range(start["at"], end["at"], self.most)]
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._lines(start["at"], end["at"])[0])
+    def read(self, partition) -> Iterator[tuple]:
+        return self.whole.read(partition)
 
     def commit(self, end: dict) -> None:
         pass

@@ -23,29 +23,44 @@ def write_stream(records: DataFrame, path: str, checkpoint: str, time: str):
     return rows.writeStream.format("json").option("compression", "gzip").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day", "hour").trigger(availableNow=True).start()
 
 
-def lines_of(data: bytes, longest: int = 1 << 20) -> Iterator[tuple[int, str]]:
-    """Numbered complete lines of a gzip member sequence, up to where it breaks off or is corrupt; longer lines are cut."""
-    d, rest, n, left = zlib.decompressobj(31), b"", 0, memoryview(data)
+def lines_of(data: bytes) -> Iterator[tuple[int, str]]:
+    """Numbered complete lines of a gzip member sequence, up to where it breaks off or is corrupt; lines of any length."""
+    d, rest, n, left = zlib.decompressobj(31), [], 0, memoryview(data)
     while left:
         part, left = left[:65536], left[65536:]
         while part:
             try:
-                rest += d.decompress(part)
+                text = d.decompress(part)
             except zlib.error:
                 return
             part = d.unused_data
-            *whole, rest = rest.split(b"\n")
-            for line in whole:
-                yield n, line[:longest].decode("utf-8", "replace")
-                n += 1
+            first, *others = text.split(b"\n")
+            rest.append(first)
+            for line in others:  # each ends what is held so far
+                yield n, b"".join(rest).decode("utf-8", "replace")
+                n, rest = n + 1, [line]
             if part:  # another gzip member follows
                 d = zlib.decompressobj(31)
-    if d.eof and rest:
-        yield n, rest[:longest].decode("utf-8", "replace")
+    if d.eof and any(rest):
+        yield n, b"".join(rest).decode("utf-8", "replace")
+
+
+def _portions(data: bytes, rows: int = 5_000, size: int = 8 << 20) -> Iterator[list[tuple[int, str]]]:
+    """Lines in lists of at most so many, and about so many characters, so that no segment's lines are held at once."""
+    held, chars = [], 0
+    for n, line in lines_of(data):
+        if line.strip():
+            held.append((n, line))
+            chars += len(line)
+            if len(held) >= rows or chars >= size:
+                yield held
+                held, chars = [], 0
+    if held:
+        yield held
 
 
 def read(spark: SparkSession, path: str, schema: str, since_day: str | None = None) -> DataFrame:
-    """Records of all readable lines with ``segment``, ``line`` and ``malformed``; folders of earlier days aren't opened."""
+    """Records of all readable lines, one file (a gzip stream can't be cut) a task's work, with ``segment``, ``line`` and ``malformed``; folders of earlier days aren't opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").option("recursiveFileLookup", "false").load(path)
     if since_day and "day" in files.columns:
         files = files.where((F.col("day").cast("string") >= since_day) | (F.col("day").cast("string") == "unknown"))
@@ -53,9 +68,8 @@ def read(spark: SparkSession, path: str, schema: str, since_day: str | None = No
     def explode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             for name, data in zip(b["path"], b["content"], strict=True):
-                rows = [(name.rsplit("/", 1)[-1], n, line) for n, line in lines_of(bytes(data)) if line.strip()]
-                for i in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[i : i + 5000], columns=["segment", "line", "value"])
+                for rows in _portions(bytes(data)):
+                    yield pd.DataFrame([(name.rsplit("/", 1)[-1], *r) for r in rows], columns=["segment", "line", "value"])
 
     raw = files.select("path", "content").mapInPandas(explode, "segment string, line bigint, value string")
     r = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
