@@ -128,5 +128,21 @@ def matching_terms(names: DataFrame, name_id: str, name: str, terms: DataFrame,
     by_term = phrased.join(forms, F.col("_phrase") == F.col("raw")).select("_term_id", F.col("form").alias("_form"), not_ascii(F.col("text")).alias("_odd"))
     by_term, _ = broadcast_if_small(materialize(by_term, "lookalike-terms"))
     hits = forms.join(by_term, F.col("form") == F.col("_form")).where(F.lit(not only_disguised) | F.col("_odd") | not_ascii(F.col("text"))).select("raw", "_term_id")
-    hits, _ = broadcast_if_small(materialize(hits, "lookalike-hits"))
-    return labelled.join(hits, F.col("_raw") == F.col("raw")).select(F.col("_name_id").alias(name_id), F.col("_term_id").alias(term_id))
+    hits, small = broadcast_if_small(materialize(hits, "lookalike-hits"))
+    met = labelled.join(hits, F.col("_raw") == F.col("raw")) if small else _met_by_label(labelled, hits)
+    return met.select(F.col("_name_id").alias(name_id), F.col("_term_id").alias(term_id))
+
+
+#: A label that this part of the rows or more have meets its terms without a shuffle of those rows.
+HOT_SHARE = 1e-3
+
+
+def _met_by_label(labelled: DataFrame, hits: DataFrame) -> DataFrame:
+    """labelled x hits by label where hits are too many to broadcast: rows of hot labels, of which there are few, apart."""
+    counts = materialize(labelled.groupBy(F.col("_raw").alias("_label")).agg(F.count(F.lit(1)).alias("_n")), "label-counts")
+    every = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("_n") >= F.lit(max(1.0, HOT_SHARE * every))).select("_label"))  # at most 1 / HOT_SHARE rows
+    of_hot, _ = broadcast_if_small(materialize(hits.join(hot, F.col("raw") == F.col("_label"), "left_semi"), "hot-hits"))
+    cold = labelled.join(hot, F.col("_raw") == F.col("_label"), "left_anti").join(hits, F.col("_raw") == F.col("raw"))
+    warm = labelled.join(hot, F.col("_raw") == F.col("_label"), "left_semi").join(of_hot, F.col("_raw") == F.col("raw"))
+    return cold.unionByName(warm)

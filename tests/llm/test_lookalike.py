@@ -78,3 +78,11 @@ def test_nulls_ties_empty_and_clashing_names(spark):
     assert sorted(got, key=str) == sorted([(2, 7), (2, 7), (None, 7)], key=str)
     assert lookalike.matching_terms(names.limit(0), "id", "name", terms, "term_id", "phrase").count() == 0
     assert lookalike.matching_terms(names, "id", "name", terms.limit(0), "term_id", "phrase").count() == 0
+
+
+def test_hits_beyond_the_broadcast(spark, sf, monkeypatch):
+    want = sorted(map(tuple, q2_lookalike.p2_found(spark, sf).collect()))
+    monkeypatch.setattr(lookalike, "broadcast_if_small", lambda df, **_: (df, False))
+    for share in (1e-3, 0.2):
+        monkeypatch.setattr(lookalike, "HOT_SHARE", share)
+        assert sorted(map(tuple, q2_lookalike.p2_found(spark, sf).collect())) == want and want
