@@ -33,9 +33,9 @@ def prepared(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _histogram(jobs: DataFrame) -> DataFrame:
+def _histogram(jobs: DataFrame, bins: bool = True) -> DataFrame:
     sums = {"attempts": F.sum("attempts"), "first_at": F.min("created_at"), "last_at": F.max("updated_at")}
-    return materialize(histogram(prepared(jobs), KEYS, "waited", sums), "job-histogram")
+    return materialize(histogram(prepared(jobs), KEYS, "waited", sums, bins), "job-histogram")
 
 
 def _totals(hist: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def _totals(hist: DataFrame) -> DataFrame:
 
 def heavy_groups(jobs: DataFrame, share: float = 0.01) -> DataFrame:
     """stage, group_key of the pairs with at least ``share`` of all rows; null keys are no group."""
-    hist = _histogram(jobs)
+    hist = _histogram(jobs, bins=False)
     every = hist.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return _totals(hist).where((F.col("n") >= share * every) & F.col("group_key").isNotNull()).select(*KEYS)
 
