@@ -153,8 +153,8 @@ def json_filter(spark, d):
 def trailing_day_jobs(spark, d):
     """Per stage the rows created within the 24 hours up to the last creation: late updates come days after it."""
     rows = table(spark, d, "job_rows").select("stage", F.unix_micros("created_at").alias("at"))
-    end = rows.agg(F.max("at").alias("end"))
-    return rows.crossJoin(F.broadcast(end)).where((F.col("at") > F.col("end") - 24 * 3600 * 1_000_000) & (F.col("at") <= F.col("end"))).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    end = rows.agg(F.max("at")).first()[0]  # one value; null for an empty table
+    return rows.where(F.col("at") > F.lit(end) - 24 * 3600 * 1_000_000).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
 def open_attempt_budget(spark, d):
