@@ -21,7 +21,9 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,24 +198,48 @@ class Model:
         return sorted(s for s, c in counts.items() if c >= self.share * n - 1e-9) or [OTHER]
 
 
+    def assigned_rows(self, n_sentences: pa.Array, hits: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The same for a batch of documents at once: row numbers and subjects."""
+        subjects = sorted(set(self.subject))
+        place = {s: i for i, s in enumerate(subjects)}
+        of_term, weight, limit = np.array([place[s] for s in self.subject]), np.array(self.weight), np.array([self.limit[s] for s in subjects])
+        k, n = len(subjects), n_sentences.to_numpy(zero_copy_only=False)
+        words, lists = hits.flatten().flatten()
+        doc, sentence, term = (pc.list_parent_indices(hits).to_numpy(), pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy())
+        sums = np.bincount(sentence * k + of_term[term], weights=weight[term], minlength=len(words) * k).reshape(len(words), k)
+        norm = np.minimum(MOST_NORM, 1.0 / (1.0 - SLOPE + SLOPE * words.to_numpy() / self.mean))
+        deals = sums * norm[:, None] >= limit
+        counts = np.stack([np.bincount(doc, weights=deals[:, i], minlength=len(n)) for i in range(k)], axis=1) if k else np.zeros((len(n), 0))
+        reached = counts >= self.share * n[:, None] - 1e-9
+        alone = np.flatnonzero(~reached.any(axis=1))
+        rows, which = np.nonzero(reached)
+        named = [subjects[i] for i in which] + [OTHER] * len(alone)
+        return pa.array(np.concatenate([rows, alone]), pa.int64()), pa.array(named, pa.string())
+
+
 _HITS = "doc_id bigint, n_sentences int, n_words bigint, hits array<struct<words:int,terms:array<int>>>"
 
 
 def document_hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TERMS) -> DataFrame:
     """Per row of ``docs`` what :func:`term_hits` finds; null, empty and illegible texts have no row."""
-    kind = pa.list_(pa.struct([("words", pa.int32()), ("terms", pa.list_(pa.int32()))]))
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, ns, ws, hits = [], [], [], []
+            ids, ns, ws, words, terms, sizes, hits = [], [], [], [], [], [0], [0]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n, words, h = term_hits(t, path)
+                n, total, found = term_hits(t, path)
                 if n:
                     ids.append(i)
                     ns.append(n)
-                    ws.append(words)
-                    hits.append([{"words": w, "terms": x} for w, x in h])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(ws, pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_sentences", "n_words", "hits"])
+                    ws.append(total)
+                    for count, numbers in found:
+                        words.append(count)
+                        terms += numbers
+                        sizes.append(len(terms))
+                    hits.append(len(words))
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(terms, pa.int32()))
+            sentences_ = pa.StructArray.from_arrays([pa.array(words, pa.int32()), lists], names=["words", "terms"])
+            columns = [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(ws, pa.int64()), pa.ListArray.from_arrays(pa.array(hits, pa.int32()), sentences_)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_words", "hits"])
 
     return spread(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(batches, _HITS)
 
@@ -238,12 +264,8 @@ def subject_areas(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, found = [], []
-            for r in b.to_pylist():
-                for s in model.assigned(r["n_sentences"], [(h["words"], h["terms"]) for h in r["hits"]]):
-                    ids.append(r["doc_id"])
-                    found.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "subject"])
+            rows, names = model.assigned_rows(b.column("n_sentences"), b.column("hits"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), names], names=["doc_id", "subject"])
 
     return hits.mapInArrow(batches, "doc_id bigint, subject string").withColumnRenamed("doc_id", doc_id)
 

@@ -102,6 +102,14 @@ def test_every_part_decides(spark):
     assert judged([(1, short), *filler], limit=dict.fromkeys(subjects.thresholds(), 1.1)) == {1: "other"}  # threshold
 
 
+def test_batches_as_single_documents(spark, sf):
+    hits = subjects.materialize(subjects.document_hits(spark.read.parquet(f"{sf}/documents.parquet")), "hits")
+    model, want = subjects.fitted(hits), []
+    for r in hits.collect():
+        want += [(r.doc_id, s) for s in model.assigned(r.n_sentences, [(h.words, h.terms) for h in r.hits])]
+    assert sorted(want) == sorted(map(tuple, q8_subjects.p8_found(spark, sf).collect()))
+
+
 def test_cases(spark):
     text = "The court was busy all afternoon. They passed the test with interest."
     docs = spark.createDataFrame(
