@@ -27,12 +27,26 @@ FUZZY_LEAST_CHARS, FUZZY_MOST_EDITS = 6, 2
 STRONG_HITS = ("keyword", "official_lookalike")
 STATUS_LABELS = {"legacy-unverified": "legacy_whitelist_unverified", "candidate": "official_domain_candidate"}
 
+#: The forms in which high-tier keywords are sought, in order: the reason they give, a form of the name, and
+#: the characters that go from it.
+FORMS = tuple(
+    (reason, form, str.maketrans("", "", gone))
+    for reason, form, gone in (
+        ("substring", "plain", ""), ("folded", "plain", "-"), ("folded", "plain", "-."), ("homoglyph", "skeleton", ""),
+        ("homoglyph", "folded", ""), ("homoglyph", "folded", "."), ("homoglyph", "residue", ""), ("homoglyph", "residue", "."),
+    )
+)
+
 HIT = "struct<type:string,keyword:string,brand:string,tier:string,reason:string,start:int,end:int,distance:int,part:string,context:array<string>,status:string>"
 SCHEMA = f"host string, unicode_host string, registrable_domain string, candidate boolean, strength string, suppressed_by string, hits array<{HIT}>, labels array<string>, notes array<string>"
 _HIT_KEYS = ("type", "keyword", "brand", "tier", "reason", "start", "end", "distance", "part", "context", "status")
 Span = tuple[int, int]
 
 
+def _hit_order(h: dict) -> tuple:
+    return h["type"], h["keyword"], h.get("start", -1), h.get("end", -1), h.get("reason") or ""
+
+
 def edits(a: str, b: str, most: int) -> int | None:
     """The edit distance if it is at most ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -135,41 +149,39 @@ class NameMatcher:
         n = names.normalized(name)
         if n is None:
             return None
-        t, memo = self._tables, {}
-        notes = {k for k in ("wildcard", "idn", "idn_invalid") if n[k]}
-        parents = self._above(n["host"])
-        suppressed = next((p for p in parents if p in t["suppressing"] and (t["suppressing"][p] or p == n["host"])), None)
-        hits: list[dict] = []
-        known = next((p for p in parents if p in t["domains"]), None)
-        if known and known != suppressed:
-            hits.append({"type": "registry_domain", "keyword": known, "brand": t["domains"][known]["brand"], "status": t["domains"][known]["status"]})
-        hits += self._lookalikes(n, set(parents), memo)
-        hits += self._keywords(n, notes, memo)
+        read = _Read(self, n)
+        owner, suppressed = self._owners(n)
+        hits = [{"type": "registry_domain", "keyword": owner["name"], "brand": owner["brand"], "status": owner["status"]}] if owner and owner["name"] != suppressed else []
+        hits += self._lookalikes(n, read)
+        hits += self._keywords(read)
         hits += self._near(n, {h["keyword"] for h in hits})
-        hits += self._tokens(n, hits, notes, memo)
-        hits.sort(key=lambda h: (h["type"], h["keyword"], h.get("start", -1), h.get("end", -1), h.get("reason") or ""))
-        strength = "strong" if any(h["type"] in STRONG_HITS for h in hits) else "weak" if hits else None
-        if suppressed:
-            notes.add("suppressed:official_domain")
-            strength = None
+        hits += self._tokens(read, [f"brand:{h['keyword']}" for h in hits if h["type"] in (*STRONG_HITS, "fuzzy")])
+        kinds = {h["type"] for h in hits}
+        strength = None if suppressed or not kinds else "strong" if kinds & set(STRONG_HITS) else "weak"
+        notes = read.notes | {k for k in ("wildcard", "idn", "idn_invalid") if n[k]} | ({"suppressed:official_domain"} if suppressed else set())
         return {
-            "host": n["host"],
-            "unicode_host": n["unicode_host"],
-            "registrable_domain": n["registrable_domain"],
+            **{k: n[k] for k in ("host", "unicode_host", "registrable_domain")},
             "candidate": strength is not None,
             "strength": strength,
             "suppressed_by": suppressed,
-            "hits": [{k: h.get(k) for k in _HIT_KEYS} | {"context": list(h.get("context", ()))} for h in hits],
+            "hits": [{k: h.get(k) for k in _HIT_KEYS} | {"context": list(h.get("context", ()))} for h in sorted(hits, key=_hit_order)],
             "labels": sorted({STATUS_LABELS[h["status"]] for h in hits if h.get("status") in STATUS_LABELS}),
             "notes": sorted(notes),
         }
 
-    def _lookalikes(self, n: dict, parents: set[str], memo: dict) -> list[dict]:
+    def _owners(self, n: dict) -> tuple[dict | None, str | None]:
+        """The most specific known domain at or above the host, and the domain that suppresses it: an official one above, any other only if it is the host."""
+        parents, t = self._above(n["host"]), self._tables
+        owner = next((t["domains"][p] for p in parents if p in t["domains"]), None)
+        return owner, next((p for p in parents if t["suppressing"].get(p) or (p in t["suppressing"] and p == n["host"])), None)
+
+    def _lookalikes(self, n: dict, read: _Read) -> list[dict]:
         """Known domains written inside other names, between characters that are no letters or digits; one hit a domain."""
         edge = lambda text, i: i < 0 or i >= len(text) or not text[i].isalnum()
         best: dict[str, tuple] = {}
+        parents = set(self._above(n["host"]))
         for place, text in enumerate((n["skeleton"], n["residue"])):
-            for form, spans in self._spans(text, memo).items():
+            for form, spans in read.spans(text).items():
                 owners = self._tables["likes"].get(form, ())
                 span = next((s for s in spans if edge(text, s[0] - 1) and edge(text, s[1])), None) if owners else None
                 if span:
@@ -179,24 +191,18 @@ class NameMatcher:
                             best[d["name"]] = min(best.get(d["name"], offer), offer)
         return [{"type": "official_lookalike", "keyword": d, "brand": self._tables["domains"][d]["brand"], "reason": "substring" if form in n["plain"] else "homoglyph", "start": span[0], "end": span[1]} for d, (form, _, span) in best.items()]
 
-    def _keywords(self, n: dict, notes: set[str], memo: dict) -> list[dict]:
-        """High-tier keywords anywhere in a form; the first form with a span that no exclusion holds names the reason."""
-        flat = n["plain"].replace("-", "")
-        forms = [("substring", n["plain"]), ("folded", flat), ("folded", flat.replace(".", "")), ("homoglyph", n["skeleton"])]
-        forms += [("homoglyph", x) for y in ("folded", "residue") for x in (n[y], n[y].replace(".", ""))]
-        high, done, out = self._tables["high"], set(), []
-        for reason, text in forms:
-            spans = self._spans(text, memo)
-            for term in spans:
-                if term not in high or term in done:
-                    continue
-                for s in spans[term]:
-                    by = self._excluding(term, s, spans)
-                    if by is None:
-                        done.add(term)
-                        out += [{"type": "keyword", "keyword": term, "brand": k["brand"], "tier": "high", "reason": reason, "start": s[0], "end": s[1]} for k in high[term]]
-                        break
-                    notes.add(f"excluded:{by}")
+    def _keywords(self, read: _Read) -> list[dict]:
+        """High-tier keywords: of all places where a keyword stands, in the order of FORMS and of the form, the first that no exclusion holds."""
+        places: dict[str, list[tuple[str, Span, str | None]]] = {}
+        for reason, spans in read.forms():
+            for term in spans.keys() & self._tables["high"].keys():
+                places.setdefault(term, []).extend((reason, s, self._excluding(term, s, spans)) for s in spans[term])
+        out = []
+        for term, every in places.items():
+            free = next((i for i, (_, _, by) in enumerate(every) if by is None), len(every))
+            read.notes.update(f"excluded:{by}" for _, _, by in every[:free])
+            for reason, (start, end), _ in every[free : free + 1]:
+                out += [{"type": "keyword", "keyword": term, "brand": k["brand"], "tier": "high", "reason": reason, "start": start, "end": end} for k in self._tables["high"][term]]
         return out
 
     def _near(self, n: dict, taken: set[str]) -> list[dict]:
@@ -218,25 +224,37 @@ class NameMatcher:
                         best[term] = min(best.get(term, (d, p, k["brand"], k["tier"])), (d, p, k["brand"], k["tier"]))
         return [{"type": "fuzzy", "keyword": term, "brand": b, "tier": tier, "distance": d, "part": p} for term, (d, p, b, tier) in best.items()]
 
-    def _tokens(self, n: dict, found: list[dict], notes: set[str], memo: dict) -> list[dict]:
-        """Low-tier keywords: every span; one inside a longer word counts only beside a brand or context term."""
-        brands = sorted(f"brand:{h['keyword']}" for h in found if h["type"] in (*STRONG_HITS, "fuzzy"))
-        text, folded, out = n["skeleton"], self._spans(n["folded"], memo), []
-        spans = self._spans(text, memo)
-        for k in (k for term in spans for k in self._tables["low"].get(term, ())):
-            context = brands + [c for c in self._tables["context"] if c != k["term"] and c in folded]
-            for a, b in spans[k["term"]]:
-                by = self._excluding(k["term"], (a, b), spans)
-                whole = (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
-                if by is not None:
-                    notes.add(f"excluded:{by}")
-                elif not whole and not context:
-                    notes.add(f"{k['term']}_affix_uncontexted")
-                else:
-                    out.append({"type": "token" if whole else "affix", "keyword": k["term"], "brand": k["brand"], "tier": "low", "start": a, "end": b, "context": context})
+    def _tokens(self, read: _Read, brands: list[str]) -> list[dict]:
+        """Low-tier keywords, a hit for each place: a token if it is a word, an affix inside one where a brand or context term stands too."""
+        text, spans = read.n["skeleton"], read.spans(read.n["skeleton"])
+        beside = [c for c in self._tables["context"] if c in read.spans(read.n["folded"])]
+        low = [k for term in spans.keys() & self._tables["low"].keys() for k in self._tables["low"][term]]
+        out = []
+        for k, (start, end) in ((k, s) for k in low for s in spans[k["term"]]):
+            by = self._excluding(k["term"], (start, end), spans)
+            context = sorted(brands) + [c for c in beside if c != k["term"]]
+            word = not (text[max(0, start - 1) : start].isalpha() or text[end : end + 1].isalpha())
+            if by is not None or not (word or context):
+                read.notes.add(f"{k['term']}_affix_uncontexted" if by is None else f"excluded:{by}")
+            else:
+                out.append({"type": "token" if word else "affix", "keyword": k["term"], "brand": k["brand"], "tier": "low", "start": start, "end": end, "context": context})
         return out
 
 
+class _Read:
+    """A name's forms, each read once by the automaton, and the notes that come up."""
+
+    def __init__(self, matcher: NameMatcher, n: dict):
+        self.n, self.notes, self._matcher, self._memo = n, set(), matcher, {}
+
+    def spans(self, text: str) -> dict[str, list[Span]]:
+        return self._matcher._spans(text, self._memo)
+
+    def forms(self) -> Iterator[tuple[str, dict[str, list[Span]]]]:
+        for reason, form, gone in FORMS:
+            yield reason, self.spans(self.n[form].translate(gone))
+
+
 def match_names(rows: DataFrame, name: str, registry: Registry, out: str = "match") -> DataFrame:
     """Adds the struct ``out`` (SCHEMA); all null for what is no DNS name. Works on batch and streaming frames."""
     from pyspark.sql import types as T

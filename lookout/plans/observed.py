@@ -115,6 +115,10 @@ SELECT target, run_id, coalesce(fuzzer, '') AS fuzzer, count(*) AS hosts FROM p
     "address_classes_v6": """WITH a AS (SELECT unnest(CAST(json_extract(context_json, '$.dns.dns_a') AS VARCHAR[])) AS ip FROM discovery_log WHERE source = 'dnstwist' AND json_valid(context_json))
 SELECT DISTINCT ip, 'documentation' AS class FROM a WHERE starts_with(ip, '192.0.2.') OR starts_with(ip, '198.51.100.') OR starts_with(ip, '203.0.113.')
 UNION ALL VALUES ('8.8.8.8', 'public'), ('10.1.2.3', 'private'), ('::1', 'loopback'), ('fe80::1', 'link_local'), ('2002:a00:1::', '6to4:private'), ('::ffff:127.0.0.1', 'ipv4_mapped:loopback'), ('2606:4700::1', 'public')""",
+    # DuckDB's levenshtein counts bytes; brand ids are ASCII, so any other character stands for one that no brand holds.
+    "closest_brands": r"""WITH w AS (SELECT DISTINCT regexp_extract(lower(name), '^(\*\.)?([^.]*)', 2) AS word FROM discovery_log WHERE name IS NOT NULL),
+p AS (SELECT word, brand AS other, CAST(levenshtein(regexp_replace(word, '[^\x00-\x7f]', '?', 'g'), brand) AS INTEGER) AS distance FROM w, (SELECT DISTINCT brand FROM brand_terms WHERE brand IS NOT NULL) WHERE word <> '')
+SELECT word, CAST(place AS INTEGER) AS place, other, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, other) AS place FROM p) WHERE place <= 3""",
     "document_excerpts": """SELECT doc_id, substr(text, greatest(pos - 21, 0) + 1, least(pos + 20 - greatest(pos - 21, 0), 60)) AS excerpt
 FROM (SELECT doc_id, text, length(regexp_extract(text, '^([^0-9]*)', 1)) + 1 AS pos FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[0-9]'))""",
 }

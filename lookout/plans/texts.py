@@ -137,6 +137,9 @@ SELECT * FROM e WHERE disclaimers <> '' OR critical <> '' UNION ALL VALUES (-4,
     "official_claims": """WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(lower(s), '(couldn.t|n''t|not|no)[^.!?;]*official')) AS claims, count(*) FILTER (WHERE regexp_matches(lower(s), '(couldn.t|n''t|not|no)[^.!?;]*official')) AS denied
 FROM s WHERE regexp_matches(lower(s), '(^|[^a-z])official\\s+(website|web\\s+site|site|page|address|store|shop|portal|account)([^a-z]|$)') GROUP BY doc_id UNION ALL VALUES (-5, 1, 1)""",
+    "escaped_texts": r"""SELECT doc_id, CAST(length(c) + 4 * (length(text) - length(regexp_replace(text, '[\x{00}-\x{1f}\x{7f}-\x{9f}\x{ad}]', '', 'g'))) + 6 * len(regexp_extract_all(text, '[\x{0600}-\x{0605}\x{061c}\x{06dd}\x{070f}\x{180e}\x{200b}-\x{200f}\x{2028}-\x{202e}\x{2060}-\x{206f}\x{feff}\x{fff9}-\x{fffb}]'))
+  + 10 * len(regexp_extract_all(text, '[\x{e0001}-\x{e007f}]')) AS INTEGER) AS n, md5(c) AS digest
+FROM (SELECT doc_id, text, regexp_replace(text, '[\p{Cc}\p{Cf}\x{2028}\x{2029}]', '', 'g') AS c FROM documents WHERE text IS NOT NULL) WHERE c <> text""",
     "provider_hosts": """WITH s AS (SELECT lower(site) AS site, count(*) AS documents FROM documents WHERE site IS NOT NULL GROUP BY 1), p(domain, provider) AS (VALUES ('example', 'plainpay'), ('pay.example', 'examplepay'), ('site.invalid', 'sitepay'))
 SELECT site, documents, provider FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY length(domain) DESC) AS n FROM s JOIN p ON site = domain OR ends_with(site, '.' || domain)) WHERE n = 1""",
     "image_choice": """WITH c AS (SELECT brand, coalesce(kind, '') AS kind, id, CAST(width AS BIGINT) * height AS area, CASE kind WHEN 'logo' THEN 0 WHEN 'favicon' THEN 1 WHEN 'qr' THEN 2 ELSE 3 END AS rank

@@ -107,13 +107,20 @@ def test_heavy_groups_count_repeats(spark):
 # Joins ---------------------------------------------------------------------------------------------------------------
 
 
-def test_suffix_join(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_suffix_join(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "broadcast_if_small", lambda df, **_: (df, False))
     left = spark.createDataFrame([(1, "a.b.c.com"), (2, "c.com"), (3, "xc.com"), (4, None), (5, "z.only.org"), (6, "only.org")], "id int, host string")
     right = spark.createDataFrame([("c.com", "c", False), ("b.c.com", "b", False), ("only.org", "o", True)], "domain string, id string, exact boolean")
     got = {r.id: r.right.id for r in joins.suffix_join(left, "host", right, "domain", F.col("exact")).collect()}
     assert got == {1: "b", 2: "c", 6: "o"}
     got = {r.id: r.right.id for r in joins.suffix_join(left, "host", right, "domain", proper=True).collect()}
     assert got == {1: "b", 5: "o"}
+    twice = joins.suffix_join(left.unionByName(left), "host", right, "domain")
+    assert twice.count() == 10 and joins.suffix_join(left, "host", right.limit(0), "domain").count() == 0
+    if broadcast:
+        assert "Exchange hashpartitioning" not in twice._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("automaton", [True, False])
@@ -235,3 +242,37 @@ def test_text_functions(spark):
     starts = spark.createDataFrame([("aaaa", "aa"), ("abc", ""), ("a", "abc"), (None, "a")], "t string, s string").select(joins.find_all(F.col("t"), F.col("s")).alias("x")).collect()
     assert [r.x or [] for r in starts] == [[0, 1, 2], [], [], []]
     assert spark.range(1).select(text.hamming(F.lit("ffffffffffffffff"), F.lit("0"))).first()[0] == 64
+
+
+# Session and extractors ----------------------------------------------------------------------------------------------
+
+
+def test_working_tables_and_small_sides(spark):
+    from lookout import session
+
+    rows = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    with session.working_tables(spark):
+        small, fits = session.broadcast_if_small(rows)  # has an exchange: written first
+        (path,) = {f.rsplit("/", 1)[0] for f in small.inputFiles()}
+        assert fits and small.count() == 7 and not session.broadcast_if_small(small, max_rows=6)[1]
+    local = path.removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert not os.path.exists(local)
+
+
+def test_extractors(spark):
+    from lookout.operators.extractors import Extractors, of_texts
+
+    known = Extractors()
+    known.register("size", "1")(lambda c: F.length("text") * c.get("times", 1))
+    known.register("big", "2", applies=lambda c: F.length("text") > 3)(lambda c: F.upper("text"))
+    known.register("broken", "1")(lambda c: F.col("nowhere"))
+    known.register("raises", "1")(lambda c: c["missing"])
+    with pytest.raises(ValueError):
+        known.register("size", "3")(lambda c: F.lit(1))
+    rows, errors = known.apply(spark.createDataFrame([("abcd",), ("x",), (None,)], "text string"), {"times": 2})
+    assert {r.text: (r.facts.size, r.facts.big) for r in rows.collect()} == {"abcd": (8, "ABCD"), "x": (2, None), None: (None, None)}
+    assert set(errors) == {"broken", "raises"} and known.versions() == {"size": "1", "big": "2", "broken": "1", "raises": "1"}
+    facts, errors = of_texts().apply(spark.createDataFrame([("buy now a@bank",)], "text string"))
+    assert not errors and facts.first().facts.payments.vpas == ["a@bank"]

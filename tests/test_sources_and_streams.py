@@ -129,3 +129,15 @@ def test_registry_yaml(spark, tmp_path):
     assert {(x.list, x.n) for x in registry.counts(spark, r).collect()} == {("brands", 1), ("keywords", 1), ("domains", 1)}
     legacy = spark.createDataFrame([("keyword", "oak", "a:1"), ("keyword", "oak", "b:2"), ("keyword", "elm", "a:1")], "kind string, value string, source string")
     assert {(x.value, x.source) for x in registry.uncovered(legacy, r.frame(spark, "keywords"), "term").collect()} == {("oak", "b:2"), ("elm", "a:1")}
+
+
+def test_long_raw_log_lines(spark, tmp_path):
+    import gzip
+    import json as _json
+
+    folder = tmp_path / "raw" / "day=20230101" / "hour=00"
+    folder.mkdir(parents=True)
+    long = {"id": 1, "name": "x" * (2 << 20)}
+    (folder / "a.json.gz").write_bytes(gzip.compress((_json.dumps(long) + "\n" + _json.dumps({"id": 2, "name": "y"})).encode()))
+    got = {r.id: (len(r.name), r.malformed) for r in rawlog.read(spark, f"{tmp_path}/raw", "id long, name string").collect()}
+    assert got == {1: (2 << 20, False), 2: (1, False)}
