@@ -107,10 +107,11 @@ SLACK_SECONDS, ATTRIBUTED_SECONDS = 300, 120
 def replay_since(spark, d):
     """Per segment what a replay from a checkpoint takes in again: rows logged from 300 s before the last finished run on, and the new events among them.
 
-    The checkpoint is the start of the latest finished run. An event is new if no row before the slack holds its id.
+    The checkpoint is the start of the latest finished run that began before the log's end. An event is new if no row before the slack holds its id.
     """
-    # One value reaches the driver; null, of a table without finished runs, takes nothing in.
-    at = table(spark, d, "replay_runs").where("records is not null").agg(F.unix_micros(F.max("started_at"))).first()[0]
+    # Single values reach the driver; null, of a table without such runs, takes nothing in.
+    end = table(spark, d, "discovery_log").agg(F.unix_micros(F.max("logged_at"))).first()[0]
+    at = table(spark, d, "replay_runs").where(F.col("records").isNotNull() & (F.unix_micros("started_at") <= F.lit(end))).agg(F.unix_micros(F.max("started_at"))).first()[0]
     log = table(spark, d, "discovery_log").where("logged_at is not null").select("segment", "logged_at", hex_id(F.col("event_id")).alias("id"))
     marked = log.withColumn("again", F.coalesce(F.unix_micros("logged_at") >= F.lit(at) - SLACK_SECONDS * 1_000_000, F.lit(False)))
     first = marked.where("id is not null").groupBy("id").agg(F.bool_and("again").alias("_new"), F.min("segment").alias("_segment"))
@@ -174,10 +175,15 @@ n AS (SELECT host, ip, list_reduce(list_transform(string_split(ip, '.'), lambda
 SELECT host, array_to_string(list_slice(list(ip ORDER BY v, ip), 1, 20), ',') AS "values", count(*) AS addresses FROM n GROUP BY host""",
     "media_types": """SELECT * FROM (VALUES ('text/html; charset=UTF-8', 'text/html', 'utf-8'), (' Text/HTML ;Charset="iso-8859-1"; x=y', 'text/html', 'iso-8859-1'), ('image/png', 'image/png', NULL), ('', NULL, NULL),
   ('application/ld+json;charset=''utf-8''', 'application/ld+json', 'utf-8'), ('nonsense', NULL, NULL), ('text/plain; charset=', 'text/plain', NULL)) v(header, media_type, charset)""",
-    "replay_since": f"""WITH r AS (SELECT max(started_at) AS at0 FROM replay_runs WHERE records IS NOT NULL),
+    "replay_since": f"""WITH r AS (SELECT max(started_at) AS at0 FROM replay_runs WHERE records IS NOT NULL AND started_at <= (SELECT max(logged_at) FROM discovery_log)),
 l AS (SELECT segment, logged_at >= at0 - INTERVAL 300 SECOND AS again, CASE WHEN regexp_full_match({_ID}, '[0-9a-f]{{64}}') THEN {_ID} END AS id FROM discovery_log, r WHERE logged_at IS NOT NULL),
 f AS (SELECT id, bool_and(again) AS fresh, min(segment) AS seg FROM l WHERE id IS NOT NULL GROUP BY id)
 SELECT segment, count(*) AS rows, (SELECT count(*) FROM f WHERE fresh AND seg = l.segment) AS new_events FROM l WHERE again GROUP BY segment""",
+    "text_facts": r"""WITH f AS (SELECT regexp_matches(t, '(^|[^\w.@-])([a-z0-9][a-z0-9._-]{1,255}@[a-z][a-z0-9]{1,63})($|[^\w@.-]|\.($|[^a-z0-9]))|://pay\?') AS payees,
+  regexp_matches(t, '(^|[^a-z])(add\s+to\s+(cart|bag|basket)|buy\s+now|book\s+now|shop\s+now|order\s+now|pay\s+now|checkout|check\s+out|proceed\s+to\s+pay(ment)?|purchase|enroll?\s+now|register\s+now|book\s+(a|your)\s+\w+|get\s+tickets?)([^a-z]|$)') AS calls,
+  regexp_matches(t, '(^|[^a-z])(not\s+(affiliated|associated|connected|endorsed|sponsored)|no\s+affiliation|unofficial|fan\s+(site|page)|independent\s+(of|from)|disclaimer)([^a-z]|$)') AS disclaimers,
+  regexp_matches(t, '(^|[^a-z])official\s+(website|web\s+site|site|page|address|store|shop|portal|account)([^a-z]|$)') AS official FROM (SELECT lower(text) AS t FROM documents WHERE text IS NOT NULL))
+SELECT *, count(*) AS documents FROM f GROUP BY ALL""",
     "attributed_skips": """WITH m AS (SELECT data.source.name AS log, msg_id, received_at AS at0, data.cert_index AS i FROM cert_messages WHERE data.source.name IS NOT NULL AND received_at IS NOT NULL),
 g AS (SELECT log, at0 AS gap_end FROM (SELECT log, at0, at0 - lag(at0) OVER (PARTITION BY log ORDER BY at0, msg_id) AS gap FROM m) WHERE gap > INTERVAL 60 SECOND),
 s AS (SELECT log, at0, i - max(i) OVER (PARTITION BY log ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS skipped FROM m WHERE i IS NOT NULL)

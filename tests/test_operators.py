@@ -118,7 +118,7 @@ def test_suffix_join(spark, monkeypatch, broadcast):
     got = {r.id: r.right.id for r in joins.suffix_join(left, "host", right, "domain", proper=True).collect()}
     assert got == {1: "b", 5: "o"}
     twice = joins.suffix_join(left.unionByName(left), "host", right, "domain")
-    assert twice.count() == 10 and joins.suffix_join(left, "host", right.limit(0), "domain").count() == 0
+    assert twice.count() == 8 and joins.suffix_join(left, "host", right.limit(0), "domain").count() == 0
     if broadcast:
         assert "Exchange hashpartitioning" not in twice._jdf.queryExecution().executedPlan().toString()
 
@@ -274,5 +274,5 @@ def test_extractors(spark):
     rows, errors = known.apply(spark.createDataFrame([("abcd",), ("x",), (None,)], "text string"), {"times": 2})
     assert {r.text: (r.facts.size, r.facts.big) for r in rows.collect()} == {"abcd": (8, "ABCD"), "x": (2, None), None: (None, None)}
     assert set(errors) == {"broken", "raises"} and known.versions() == {"size": "1", "big": "2", "broken": "1", "raises": "1"}
-    facts, errors = of_texts().apply(spark.createDataFrame([("buy now a@bank",)], "text string"))
-    assert not errors and facts.first().facts.payments.vpas == ["a@bank"]
+    facts, errors = of_texts().apply(spark.createDataFrame([("buy now ab@bank",)], "text string"))
+    assert not errors and facts.first().facts.payments.vpas == ["ab@bank"]
