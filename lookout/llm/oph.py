@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS, ROWS, PERMUTATIONS = 128, 8, 6
+BINS, ROWS, PERMUTATIONS = 128, 10, 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -65,10 +65,11 @@ def sketch(elements: np.ndarray, bins: int = BINS, permutation: int = 0) -> np.n
 def subset_sketches(present: np.ndarray, bins: int = BINS, permutation: int = 0) -> np.ndarray:
     """Sketches of many subsets of the elements 0 to n - 1 at once. present: a row of n booleans for each subset."""
     h, where = placed(np.arange(present.shape[1]), bins, permutation)
-    out = np.full((len(present), bins), _EMPTY, np.uint64)
-    for i in range(present.shape[1]):
-        out[:, where[i]] = np.where(present[:, i], np.minimum(out[:, where[i]], h[i]), out[:, where[i]])
-    return densified(out, permutation)
+    # From the largest hash to the smallest, so what is written last into a bin is its least; bins and elements are rows.
+    out, has = np.full((bins, len(present)), _EMPTY, np.uint64), np.ascontiguousarray(present.T)
+    for i in np.argsort(h)[::-1]:
+        np.putmask(out[where[i]], has[i], h[i])
+    return densified(np.ascontiguousarray(out.T), permutation)
 
 
 def band_keys(sketches: np.ndarray, rows: int = ROWS, permutation: int = 0) -> np.ndarray:
