@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookout.operators import latest
+from lookout.operators import budget, latest
 from lookout.operators.groups import effective_group
 
 #: Priorities in the order of a list; a case without one comes last.
@@ -154,22 +154,34 @@ def rechecks(jobs: DataFrame, stage: str, days: Sequence[int] = (1, 7)) -> DataF
 
 
 def opened(events: DataFrame, keys: Sequence[str], time: str, seq: str, quiet_seconds: float) -> DataFrame:
-    """Adds ``case_no`` and ``opens``: an event reuses its key's case unless the key has been quiet for longer; then it opens the next one."""
-    w = Window.partitionBy(*keys).orderBy(time, seq)
-    gap = (F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))) / 1e6
-    opens = gap.isNull() | (gap > quiet_seconds)
-    flagged = events.withColumn("opens", opens)
-    return flagged.withColumn("case_no", F.sum(F.col("opens").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """Adds ``case_no`` and ``opens``: an event reuses its key's case unless the key has been quiet for longer; then it opens the next one.
+
+    Events without a time are left out by the caller. Windows cover an hour of a key, so one that holds most rows is spread.
+    """
+    bucket = F.date_trunc("hour", time)
+    marked = latest.lagged(events, keys, [F.col(time), F.col(seq)], {"_was": F.col(time)}, bucket)
+    gap = (F.unix_micros(time) - F.unix_micros("_was")) / 1e6
+    flagged = marked.withColumn("opens", F.col("_first") | gap.isNull() | (gap > quiet_seconds)).withColumn("_one", F.col("opens").cast("int"))
+    numbered = budget.running_sum(flagged, keys, [F.col(time), F.col(seq)], "_one", "case_no", bucket)
+    return numbered.select(*events.columns, "opens", "case_no")
 
 
 def ingest_decisions(events: DataFrame, keys: Sequence[str], source: str, time: str, seq: str) -> DataFrame:
-    """Adds ``decision``: new (the key's first event), new_source (its first of a source), repeat, or none without a key or time."""
+    """Adds ``decision``: new (the key's first event), new_source (its first of a source), repeat, or none without a key or time. seq is unique."""
     usable = F.col(time).isNotNull()
     for k in keys:
         usable = usable & F.col(k).isNotNull()
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_last(), seq))
-    of_source = F.row_number().over(Window.partitionBy(*keys, source).orderBy(F.col(time).asc_nulls_last(), seq))
-    return events.withColumn("decision", F.when(~usable, "none").when(first == 1, "new").when(of_source == 1, "new_source").otherwise("repeat"))
+    # Firsts are found with mergeable aggregates and joined back by the unique seq, so no key is one task's work.
+    place = F.struct(F.col(time), F.col(seq))
+    of_source = events.where(usable).groupBy(*keys, source).agg(F.min(place).alias("_p"))
+    lead = of_source.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_p").alias("_lead"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    firsts = of_source.join(lead, same).select(F.col("_p")[seq].alias("_seq"), (F.col("_p") == F.col("_lead")).alias("_new"))
+    marked = events.join(firsts, F.col(seq) == F.col("_seq"), "left")
+    decision = F.when(~usable, "none").when(F.col("_new"), "new").when(F.col("_seq").isNotNull(), "new_source").otherwise("repeat")
+    return marked.select(*events.columns, decision.alias("decision"))
 
 
 #: What a job's error text says of its outcome; the first pattern that occurs counts.

@@ -30,10 +30,39 @@ def preferring(df: DataFrame, keys: Sequence[str], preferred: Column, order: Seq
     return latest_by(df, keys, [F.coalesce(preferred, F.lit(False)).desc(), *order])
 
 
-def previous_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
-    """Adds the last non-null ``value`` strictly before each row: a backward as-of join of a table with itself."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, Column], bucket: Column | None = None, known: bool = False) -> DataFrame:
+    """Adds each value of the key's row before under its name, and ``_first``: whether there is no row before.
+
+    known: the last non-null value before instead. ``bucket``, if given, must not decrease in the order and not be null:
+    windows then cover a bucket only, and its first rows get what the key's earlier buckets ended with, a small table. Keys
+    that hold most rows need one.
+    """
+    names = list(values)
+    rows = df.withColumns({f"_v{i}": values[n] for i, n in enumerate(names)})
+    rows = rows.withColumn("_b", bucket if bucket is not None else F.lit(0))
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = lambda i: F.last(f"_v{i}", ignorenulls=True).over(before) if known else F.lag(f"_v{i}").over(w)
+    placed = rows.withColumns({**{f"_l{i}": inside(i) for i in range(len(names))}, "_first": F.row_number().over(w) == 1})
+    if bucket is not None:
+        ending = {f"_e{i}": F.last(f"_v{i}", ignorenulls=True).over(upto) if known else F.col(f"_v{i}") for i in range(len(names))}
+        last = rows.withColumns({**ending, "_last": F.lead(F.lit(True)).over(w).isNull()}).where("_last")
+        across = Window.partitionBy(*keys).orderBy("_b")
+        carry = lambda i: F.last(f"_e{i}", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)) if known else F.lag(f"_e{i}").over(across)
+        ends = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), *[carry(i).alias(f"_c{i}") for i in range(len(names))], (F.row_number().over(across) == 1).alias("_opening"))
+        same = F.col("_b") == F.col("_bb")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = placed.join(ends, same)
+        value = lambda i: F.coalesce(f"_l{i}", f"_c{i}") if known else F.when(F.col("_first"), F.col(f"_c{i}")).otherwise(F.col(f"_l{i}"))
+        placed = joined.select(*placed.columns, *[value(i).alias(f"_m{i}") for i in range(len(names))], (F.col("_first") & F.col("_opening")).alias("_f"))
+        return placed.select(*df.columns, *[F.col(f"_m{i}").alias(n) for i, n in enumerate(names)], F.col("_f").alias("_first"))
+    return placed.select(*df.columns, *[F.col(f"_l{i}").alias(n) for i, n in enumerate(names)], "_first")
+
+
+def previous_known(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str, bucket: Column | None = None) -> DataFrame:
+    """Adds the last non-null ``value`` strictly before each row: a backward as-of join of a table with itself. bucket: see :func:`lagged`."""
+    return lagged(df, keys, order, {out: F.col(value)}, bucket, known=True).drop("_first")
 
 
 def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, bucket: int = 100_000) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookout.operators.latest import latest_by
+from lookout.operators.latest import lagged, latest_by
 
 
 def insert_new(existing: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,12 +43,10 @@ def merged_sightings(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFra
     )
 
 
-def changes_only(history: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column) -> DataFrame:
-    """The rows whose value differs from the key's row before (null-safe); the first row is a change."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    marked = history.withColumn("_value", value)
-    changed = (F.row_number().over(w) == 1) | ~F.col("_value").eqNullSafe(F.lag("_value").over(w))
-    return marked.withColumn("_changed", changed).where("_changed").drop("_value", "_changed")
+def changes_only(history: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, bucket: Column | None = None) -> DataFrame:
+    """The rows whose value differs from the key's row before (null-safe); the first row is a change. bucket: see :func:`latest.lagged`."""
+    marked = lagged(history.withColumn("_value", value), keys, order, {"_before": F.col("_value")}, bucket)
+    return marked.where(F.col("_first") | ~F.col("_value").eqNullSafe(F.col("_before"))).select(*history.columns)
 
 
 def retired(current: DataFrame, kept: DataFrame, keys: Sequence[str], examined: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lookout.operators import budget, latest, merge, quotient
+from lookout.session import materialize
 from lookout.sources.tables import table
 
 
@@ -43,16 +44,19 @@ def sources_of_host(spark, d):
 
 
 def hosts_seen_by_sweep(spark, d):
-    """Hosts from certificates that a sweep also found: a semi-join."""
-    ev = _events(spark, d)
-    swept = ev.where("source = 'dnstwist'").select("host")
-    return ev.where("source = 'certstream' and host is not null").select("host").distinct().join(swept, "host", "left_semi")
+    """Hosts from certificates that a sweep also found: a semi-join, as flags of one pass."""
+    return _by_sources(spark, d).where("certstream and dnstwist").select("host")
+
+
+def _by_sources(spark, d):
+    """Hosts with a flag for every source that saw them: one pass instead of a join of the log with itself."""
+    ev = _events(spark, d).where("host is not null")
+    return ev.groupBy("host").agg(*[F.coalesce(F.bool_or(F.col("source") == s), F.lit(False)).alias(s) for s in ("certstream", "dnstwist", "manual")])
 
 
 def hosts_not_swept(spark, d):
-    ev = _events(spark, d)
-    swept = ev.where("source = 'dnstwist' and host is not null").select("host")
-    return ev.where("source = 'manual' and host is not null").select("host").distinct().join(swept, "host", "left_anti")
+    """Hosts named by hand that no sweep found: an anti-join."""
+    return _by_sources(spark, d).where("manual and not dnstwist").select("host")
 
 
 def recent_events(spark, d):
@@ -64,7 +68,7 @@ def recent_events(spark, d):
 
 def replay_idempotent(spark, d):
     """Rollups of two overlapping batches merged as one rollup of all: the merge is order-insensitive."""
-    ev = _events(spark, d).where("host is not null")
+    ev = materialize(_events(spark, d).where("host is not null").select("host", "source", "observed_at", "delivery_id"), "events")
     strong = F.col("source").isin("manual", "dnstwist")
     cut = F.pmod("delivery_id", F.lit(2)) == 0
     parts = [merge.sightings(ev.where(c), ["host"], "observed_at", strong) for c in (cut, ~cut)]

@@ -16,7 +16,7 @@ URLS = ("https://A.example/x", "http://0x7f.1", "ftp://a.example", "http://u@a.e
 def capture_changes(spark, d):
     """What changed between consecutive captures of a case: site, source, language; a null side is unknown, not change."""
     docs = table(spark, d, "documents").where("case_id is not null and captured_at is not null").select("case_id", "doc_id", "captured_at", "site", "source", "lang")
-    out = observations.material_changes(docs, ["case_id"], [F.col("captured_at"), F.col("doc_id")], ["site", "source", "lang"]).where("changed is not null")
+    out = observations.material_changes(docs, ["case_id"], [F.col("captured_at"), F.col("doc_id")], ["site", "source", "lang"], F.date_trunc("hour", "captured_at")).where("changed is not null")
     return out.select("doc_id", "case_id", F.array_join("changed", ",").alias("changed"), F.array_join("unknown", ",").alias("unknown"))
 
 

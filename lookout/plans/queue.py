@@ -135,13 +135,13 @@ def expired_leases(spark, d):
 def attempts_changed(spark, d):
     """Per case and stage the rounds at which attempts changed against the round before: append on change."""
     rows = _jobs(spark, d).select(F.get_json_object("payload_json", "$.case_id").cast("long").alias("case_id"), "stage", F.get_json_object("payload_json", "$.round").cast("int").alias("round"), "id", "attempts").where("case_id is not null and round is not null")
-    return merge.changes_only(rows, ["case_id", "stage"], [F.col("round"), F.col("id")], F.col("attempts"))
+    return merge.changes_only(rows, ["case_id", "stage"], [F.col("round"), F.col("id")], F.col("attempts"), F.col("round"))
 
 
 def previous_error(spark, d):
     """Failed rows with the last known error of an earlier row of the same stage and case."""
     rows = _jobs(spark, d).withColumn("case_id", F.get_json_object("payload_json", "$.case_id").cast("long")).where("case_id is not null")
-    return latest.previous_known(rows, ["stage", "case_id"], [F.col("id")], "last_error", "before").where("status = 'failed'").select("id", "stage", "case_id", "last_error", "before")
+    return latest.previous_known(rows, ["stage", "case_id"], [F.col("id")], "last_error", "before", F.floor(F.col("id") / 100_000)).where("status = 'failed'").select("id", "stage", "case_id", "last_error", "before")
 
 
 def json_filter(spark, d):

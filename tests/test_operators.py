@@ -276,3 +276,18 @@ def test_extractors(spark):
     assert set(errors) == {"broken", "raises"} and known.versions() == {"size": "1", "big": "2", "broken": "1", "raises": "1"}
     facts, errors = of_texts().apply(spark.createDataFrame([("buy now ab@bank",)], "text string"))
     assert not errors and facts.first().facts.payments.vpas == ["ab@bank"]
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_lagged_in_buckets(spark, known):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), i, rng.choice([None, rng.randrange(5)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    plain = latest.lagged(df, ["k"], [F.col("i")], {"was": F.col("v")}, known=known)
+    cut = latest.lagged(df, ["k"], [F.col("i")], {"was": F.col("v")}, F.floor(F.col("i") / 7), known=known)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, cut.collect()), key=str)
+    want, last = {}, {}
+    for k, i, v in rows:
+        want[i] = (last.get(k, (None,))[0], k not in last)
+        last[k] = (v if not known or v is not None else last.get(k, (None,))[0],)
+    assert {r.i: (r.was, r._first) for r in plain.collect()} == want
