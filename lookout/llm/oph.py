@@ -39,16 +39,17 @@ def placed(elements: np.ndarray, bins: int, permutation: int) -> tuple[np.ndarra
 def densified(sketches: np.ndarray, permutation: int) -> np.ndarray:
     """Rows of sketches whose empty bins have borrowed; rows without any full bin stay empty."""
     bins, full = sketches.shape[1], sketches != _EMPTY
-    out, open_ = sketches.copy(), ~full & full.any(axis=1, keepdims=True)
-    at = np.arange(bins, dtype=np.uint64)
+    out = sketches.copy()
+    row, at = np.nonzero(~full & full.any(axis=1, keepdims=True))
     for attempt in range(1, 64 * bins):
-        if not open_.any():
+        if not len(row):
             break
         step = np.uint64((attempt + permutation * 64 * bins) & 0xFFFFFFFF)
-        donor = (_mix(at * np.uint64(0x100000001) + step) % np.uint64(bins)).astype(np.int64)
-        lent = open_ & full[:, donor]
-        out[lent] = sketches[:, donor][lent]
-        open_ &= ~lent
+        donors = (_mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x100000001) + step) % np.uint64(bins)).astype(np.int64)
+        donor = donors[at]
+        lent = full[row, donor]
+        out[row[lent], at[lent]] = sketches[row[lent], donor[lent]]
+        row, at = row[~lent], at[~lent]
     return out
 
 
