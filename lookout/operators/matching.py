@@ -29,12 +29,9 @@ STATUS_LABELS = {"legacy-unverified": "legacy_whitelist_unverified", "candidate"
 
 #: The forms in which high-tier keywords are sought, in order: the reason they give, a form of the name, and
 #: the characters that go from it.
-FORMS = tuple(
-    (reason, form, str.maketrans("", "", gone))
-    for reason, form, gone in (
-        ("substring", "plain", ""), ("folded", "plain", "-"), ("folded", "plain", "-."), ("homoglyph", "skeleton", ""),
-        ("homoglyph", "folded", ""), ("homoglyph", "folded", "."), ("homoglyph", "residue", ""), ("homoglyph", "residue", "."),
-    )
+FORMS = (
+    ("substring", "plain", ""), ("folded", "plain", "-"), ("folded", "plain", "-."), ("homoglyph", "skeleton", ""),
+    ("homoglyph", "folded", ""), ("homoglyph", "folded", "."), ("homoglyph", "residue", ""), ("homoglyph", "residue", "."),
 )
 
 HIT = "struct<type:string,keyword:string,brand:string,tier:string,reason:string,start:int,end:int,distance:int,part:string,context:array<string>,status:string>"
@@ -195,7 +192,7 @@ class NameMatcher:
         """High-tier keywords: of all places where a keyword stands, in the order of FORMS and of the form, the first that no exclusion holds."""
         places: dict[str, list[tuple[str, Span, str | None]]] = {}
         for reason, spans in read.forms():
-            for term in spans.keys() & self._tables["high"].keys():
+            for term in filter(self._tables["high"].__contains__, spans):
                 places.setdefault(term, []).extend((reason, s, self._excluding(term, s, spans)) for s in spans[term])
         out = []
         for term, every in places.items():
@@ -227,8 +224,8 @@ class NameMatcher:
     def _tokens(self, read: _Read, brands: list[str]) -> list[dict]:
         """Low-tier keywords, a hit for each place: a token if it is a word, an affix inside one where a brand or context term stands too."""
         text, spans = read.n["skeleton"], read.spans(read.n["skeleton"])
-        beside = [c for c in self._tables["context"] if c in read.spans(read.n["folded"])]
-        low = [k for term in spans.keys() & self._tables["low"].keys() for k in self._tables["low"][term]]
+        low = [k for term in spans for k in self._tables["low"].get(term, ())]
+        beside = [c for c in self._tables["context"] if c in read.spans(read.n["folded"])] if low else []
         out = []
         for k, (start, end) in ((k, s) for k in low for s in spans[k["term"]]):
             by = self._excluding(k["term"], (start, end), spans)
@@ -252,7 +249,11 @@ class _Read:
 
     def forms(self) -> Iterator[tuple[str, dict[str, list[Span]]]]:
         for reason, form, gone in FORMS:
-            yield reason, self.spans(self.n[form].translate(gone))
+            text = self.n[form]
+            for c in gone:
+                text = text.replace(c, "")
+            if found := self.spans(text):
+                yield reason, found
 
 
 def match_names(rows: DataFrame, name: str, registry: Registry, out: str = "match") -> DataFrame:
