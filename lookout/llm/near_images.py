@@ -7,31 +7,27 @@ Groups (:func:`alike_groups`) come from one-permutation hashing with banded buck
 (:mod:`lookout.llm.oph`) over the 128 bits of both hashes: every edge is checked exactly, then connected. Stars miss a pair
 of a bucket that doesn't include its hub, but hardly a group, as other permutations have other hubs (recall: README).
 
-All pairs (:func:`alike_pairs`) are asked for without any missing, which hashing can't promise, so that search is exact: 8
-differing bits in three blocks of dhash leave a block with at most 2, and two blocks that differ in at most 2 bits meet if
-each side also lists its neighbours at one bit. A block value is a bucket. Where a bucket is crowded, phash splits it the
-same way: 10 bits in four blocks leave one with at most 2. No bucket is capped. Equal (phash, dhash) pairs are one node, so
-copies meet once.
+All pairs (:func:`alike_pairs`) are asked for without any missing, which hashing can't promise, so that search is exact: a
+node becomes nine rows, one for each piece of dhash, two nodes within the thresholds share a piece, and
+:mod:`lookout.llm.hamming` finds them among the nodes that share it. No bucket is capped; a crowded one is split by phash in
+the same way. Equal (phash, dhash) pairs are one node, so copies meet once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookout.functions.text import hash_bits
-from lookout.llm import components, oph
-from lookout.session import broadcast_if_small, materialize, spread
+from lookout.llm import components, hamming, oph
+from lookout.session import materialize, spread
 
-MAX_PHASH, MAX_DHASH, LEAST_SPREAD, MAX_ASPECT = 10, 8, 12.0, 1.35
-#: (first bit, bits) of the blocks.
-DHASH_BLOCKS = ((0, 21), (21, 21), (42, 22))
-PHASH_BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
-#: Nodes in a bucket from which it is split by phash, and equal block values from which these count for it. Both change
-#: the plan only: a bucket that isn't split holds at most CROWDED + 23 * COUNTED nodes.
-CROWDED, COUNTED = 500, 20
+MAX_PHASH, MAX_DHASH, LEAST_SPREAD, MAX_ASPECT = hamming.MAX_P, hamming.MAX_D, 12.0, 1.35
+#: Nodes in a bucket above which it is split by phash, and candidates a node above which a bucket is searched by phash. Both
+#: change the plan only.
+CROWDED, COUNTED = 2_000_000, 2_000
 
 
 def prepared(corpus: DataFrame) -> DataFrame:
@@ -44,89 +40,72 @@ def prepared(corpus: DataFrame) -> DataFrame:
     return rows
 
 
-def _neighbours(bits: Column, blocks: tuple[tuple[int, int], ...]) -> Column:
-    """Block number and value of every block and of its neighbours at one bit, as an array of longs."""
-    keys = []
-    for n, (at, width) in enumerate(blocks):
-        value = F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << width) - 1)).cast("long")
-        keys += [value.bitwiseXOR(F.lit(flip)).bitwiseOR(F.lit(n << 32)) for flip in [0, *(1 << i for i in range(width))]]
-    return F.array(*keys)
-
-
 def _close(p1: str, d1: str, p2: str, d2: str) -> Column:
     return (F.bit_count(F.col(d1).bitwiseXOR(F.col(d2))) <= MAX_DHASH) & (F.bit_count(F.col(p1).bitwiseXOR(F.col(p2))) <= MAX_PHASH)
 
 
-def _met(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """Node pairs (a before b) of the same bucket within the thresholds."""
-    right = buckets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("b"), F.col("p").alias("p2"), F.col("d").alias("d2"))
-    left = buckets.withColumnRenamed("node", "a")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    return left.join(right, same & (F.col("a") < F.col("b")) & _close("p", "d", "p2", "d2")).select("a", "b")
+def _keys(bits: str, pieces: tuple[tuple[int, int], ...]) -> Column:
+    """Number and value of every piece: an array of ints."""
+    return F.array(*[F.shiftrightunsigned(F.col(bits), at).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(n << 8)).cast("int") for n, (at, width) in enumerate(pieces)])
 
 
-def _blocks(bits: Column, blocks: tuple[tuple[int, int], ...]) -> Column:
-    """The first key of every block of _neighbours: that of its own value."""
-    return F.array(*[F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << width) - 1)).cast("long").bitwiseOR(F.lit(n << 32)) for n, (at, width) in enumerate(blocks)])
+def _searched(counted: int):
+    """The search of one bucket: rows p, d, key, part."""
 
+    def found(bucket: pa.Table) -> pa.Table:
+        p, d = (bucket.column(c).to_numpy() for c in ("p", "d"))
+        key, part = (bucket.column(c)[0].as_py() for c in ("key", "part"))
+        i, j = hamming.close_pairs(p, d, key >> 8, part >> 8 if part >= 0 else None, counted)
+        return pa.table({"p1": p[i], "d1": d[i], "p2": p[j], "d2": d[j]})
 
-def _around(key: Column, blocks: tuple[tuple[int, int], ...]) -> Column:
-    """A block key and its neighbours at one bit."""
-    out = F.array(key)
-    for n, (_, width) in enumerate(blocks):
-        out = F.when(F.shiftright(key, 32) == n, F.array(*[key.bitwiseXOR(F.lit(f)) for f in [0, *(1 << i for i in range(width))]])).otherwise(out)
-    return out
+    return found
 
 
-def _crowded(nodes: DataFrame) -> DataFrame:
-    """_hot: the dhash keys of crowded buckets, from the counts of block values alone, 3 rows a node instead of 67."""
-    values = nodes.select(F.explode(_blocks(F.col("d"), DHASH_BLOCKS)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COUNTED)
-    return values.select(F.explode(_around(F.col("value"), DHASH_BLOCKS)).alias("_hot"), "n").groupBy("_hot").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("_hot")
+def hash_pairs(nodes: DataFrame) -> DataFrame:
+    """p1, d1, p2, d2: all pairs of nodes (p, d; each once) within both thresholds, each pair once, in either order."""
+    # Every node becomes nine rows here, so nodes that fit into one file are spread first.
+    keyed = spread(nodes.select("p", "d")).select("p", "d", F.explode(_keys("d", hamming.PIECES)).alias("key"))
+    # A piece has at most 256 values, so there are few buckets, however many nodes.
+    crowded = [r.key for r in keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("key").collect()]
+    parts = F.when(F.col("key").isin(crowded), _keys("p", hamming.PARTS)).otherwise(F.array(F.lit(-1))) if crowded else F.array(F.lit(-1))
+    return keyed.withColumn("part", F.explode(parts)).groupBy("key", "part").applyInArrow(_searched(COUNTED), "p1 bigint, d1 bigint, p2 bigint, d2 bigint")
 
 
 def node_pairs(nodes: DataFrame) -> DataFrame:
-    """a, b: all pairs of nodes (node, p, d; each (p, d) once) within both thresholds, a < b, each pair once."""
-    # Every node becomes 67 rows here, so nodes that fit into one file are spread first.
-    keyed = spread(nodes).select("node", "p", "d", F.explode(_neighbours(F.col("d"), DHASH_BLOCKS)).alias("key"))
-    crowded = materialize(_crowded(nodes), "crowded")
-    if crowded.isEmpty():
-        return _met(keyed, ["key"]).distinct()
-    keyed = materialize(keyed, "dhash-buckets")
-    hot, _ = broadcast_if_small(crowded)
-    plain = _met(keyed.join(hot, F.col("key") == F.col("_hot"), "left_anti"), ["key"])
-    inside = keyed.join(hot, F.col("key") == F.col("_hot"), "left_semi").withColumn("sub", F.explode(_neighbours(F.col("p"), PHASH_BLOCKS)))
-    return plain.unionByName(_met(inside, ["key", "sub"])).distinct()
-
-
-def _nodes(rows: DataFrame) -> DataFrame:
-    """node (least id), p, d of the distinct hash pairs."""
-    return materialize(rows.where("p is not null").groupBy("p", "d").agg(F.min("id").alias("node")), "hash-nodes")
+    """a, b: the pairs of :func:`hash_pairs` by the names of their nodes (node, p, d; each (p, d) once), a < b."""
+    pairs = materialize(hash_pairs(nodes), "hash-pairs")
+    one, other = (nodes.select(F.col("node").alias(f"node{n}"), F.col("p").alias(f"_p{n}"), F.col("d").alias(f"_d{n}")) for n in "12")
+    both = pairs.join(one, (F.col("p1") == F.col("_p1")) & (F.col("d1") == F.col("_d1"))).join(other, (F.col("p2") == F.col("_p2")) & (F.col("d2") == F.col("_d2")))
+    return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
 
 
 def _aspect_ok(a: str, b: str) -> Column:
     return F.greatest(F.col(a), F.col(b)) <= F.least(F.col(a), F.col(b)) * MAX_ASPECT
 
 
+def _packed(sha: Column) -> Column:
+    """Bytes that are equal if and only if the texts are: 32 of a sha256 in hex, more of anything else."""
+    return F.when(sha.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(sha)).otherwise(F.encode(F.concat(sha, F.lit("=" * 33)), "utf-8"))
+
+
 def alike_pairs(corpus: DataFrame) -> DataFrame:
     """id_a, id_b (a < b) of every two alike records, each pair once: the size of the result is that of the problem.
 
     Records with the same id pair with others but not with each other. Null hashes match nothing; an empty table gives
     an empty result. See :func:`alike_groups` for a result that is linear in the corpus.
     """
-    rows = materialize(prepared(corpus), "images")
-    nodes = _nodes(rows)
-    pairs = materialize(node_pairs(nodes), "hash-pairs")
-    linked = pairs.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    members = materialize(rows.where("p is not null").join(nodes.withColumnsRenamed({"p": "_p", "d": "_d"}), (F.col("p") == F.col("_p")) & (F.col("d") == F.col("_d"))).select("node", "id", "aspect"), "hash-members")
-    left = members.select(F.col("node").alias("_na"), F.col("id").alias("ia"), F.col("aspect").alias("aa"))
-    right = members.select(F.col("node").alias("_nb"), F.col("id").alias("ib"), F.col("aspect").alias("ab"))
-    seen = linked.join(left, F.col("a") == F.col("_na")).join(right, F.col("b") == F.col("_nb")).where(_aspect_ok("aa", "ab") & (F.col("ia") != F.col("ib")))
-    seen = seen.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-    byte = rows.where("sha is not null").select("sha", "id")
+    looks = Window.partitionBy("p", "d").orderBy("id")
+    seen = prepared(corpus).where("p is not null").select("id", "p", "d", "aspect", (F.row_number().over(looks) == 1).alias("head"), F.lead("id").over(looks).isNotNull().alias("more"))
+    rows = materialize(seen, "images")
+    pairs = materialize(hash_pairs(rows.where("head")), "hash-pairs")
+    linked = pairs.unionByName(rows.where("head and more").select(F.col("p").alias("p1"), F.col("d").alias("d1"), F.col("p").alias("p2"), F.col("d").alias("d2")))
+    left, right = (rows.select(F.col("p").alias(f"_p{n}"), F.col("d").alias(f"_d{n}"), F.col("id").alias(f"i{n}"), F.col("aspect").alias(f"a{n}")) for n in "12")
+    both = linked.join(left, (F.col("p1") == F.col("_p1")) & (F.col("d1") == F.col("_d1"))).select("p2", "d2", "i1", "a1")
+    both = both.join(right, (F.col("p2") == F.col("_p2")) & (F.col("d2") == F.col("_d2"))).where(_aspect_ok("a1", "a2") & (F.col("i1") != F.col("i2")))
+    alike = both.select(F.least("i1", "i2").alias("id_a"), F.greatest("i1", "i2").alias("id_b"))
+    byte = prepared(corpus).where("sha is not null").select(_packed(F.col("sha")).alias("sha"), "id")
     same = byte.join(byte.select(F.col("sha").alias("_sha"), F.col("id").alias("_id")), (F.col("sha") == F.col("_sha")) & (F.col("id") < F.col("_id"))).select(F.col("id").alias("id_a"), F.col("_id").alias("id_b"))
-    return seen.unionByName(same).distinct()
+    return alike.unionByName(same).distinct()
 
 
 def _bit_keys(bins: int, rows: int, permutations: int):

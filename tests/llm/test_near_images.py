@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lookout.llm import components, near_images, oph, q5_near
+from lookout.llm import components, hamming, near_images, oph, q5_near
 
 SCHEMA = "id long, sha256 string, phash string, dhash string, width int, height int, luma_stddev double, brand string, node long"
 
@@ -115,3 +115,50 @@ def test_whole_batches_sketch_as_single_sets():
         for row, s in zip(present, many):
             assert (oph.sketch(np.flatnonzero(row), 128, n) == s).all()
         assert (oph.band_keys(many, 8, n)[3] == oph.band_keys(many[3], 8, n)).all()
+
+
+def test_buckets_find_every_pair_once_by_each_search():
+    """Random and equal dhash; compared in full, by the rest of the block, and by quarters of phash; whole and split buckets."""
+    rng = random.Random(4)
+    flip = lambda x, n: x ^ sum(1 << i for i in rng.sample(range(64), n))
+    for base in (None, 0x5555):
+        hashes = []
+        for _ in range(150):
+            p, d = rng.getrandbits(64), rng.getrandbits(64) if base is None else base
+            hashes += [(p, d), (flip(p, rng.randint(0, 11)), flip(d, rng.randint(0, 9))), (flip(p, 10), flip(d, 8))]
+        p, d = (np.array(x, np.uint64) for x in zip(*hashes))
+        want = sorted((i, j) for j, (p2, d2) in enumerate(hashes) for i, (p1, d1) in enumerate(hashes[:j]) if (p1 ^ p2).bit_count() <= 10 and (d1 ^ d2).bit_count() <= 8)
+        for parts, most, few in ((1, 2000, 10**6), (1, 10**6, 0), (1, 0, 0), (len(hamming.PARTS), 10**6, 0)):
+            got = []
+            for n, (at, width) in enumerate(hamming.PIECES):
+                for m, (first, bits) in enumerate(hamming.PARTS[:parts]):
+                    key = (d >> np.uint64(at) & np.uint64((1 << width) - 1)) << np.uint64(8) | (p >> np.uint64(first) & np.uint64((1 << bits) - 1)) * np.uint64(parts > 1)
+                    for value, size in zip(*np.unique(key, return_counts=True)):
+                        if size > 1:
+                            at_ = np.flatnonzero(key == value)
+                            i, j = hamming.close_pairs(p[at_].view(np.int64), d[at_].view(np.int64), n, m if parts > 1 else None, most, few if parts == 1 or size > 3 else 10**6)
+                            got += [tuple(sorted(x)) for x in zip(at_[i].tolist(), at_[j].tolist())]
+            assert sorted(got) == want and len(want) > 150
+
+
+def test_rows_of_a_node_and_nothing_broadcast(spark, monkeypatch):
+    """The search makes nine rows of a node (67 before), and asks for no broadcast, whose table the driver would hold."""
+    sizes = []
+    real = near_images._keys
+    monkeypatch.setattr(near_images, "_keys", lambda bits, pieces: sizes.append(len(pieces)) or real(bits, pieces))
+    nodes = spark.range(600).select(F.xxhash64("id").alias("p"), F.lit(7).cast("long").alias("d")).localCheckpoint()
+    plan = near_images.hash_pairs(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert sizes == [9] and "broadcast" not in plan.lower()
+
+
+def test_records_of_one_id_and_several_looks(spark):
+    """An id twice with different hashes joins the pairs of each, not those of one to those of the other."""
+    far = "ffffffffffffffff"
+    rows = [(5, None, "0", "0", 1, 1, 20.0, None, None), (5, None, far, far, 1, 1, 20.0, None, None), (6, None, "0", "0", 1, 1, 20.0, None, None), (7, None, far, far, 1, 1, 20.0, None, None)]
+    assert sorted(map(tuple, near_images.alike_pairs(spark.createDataFrame(rows, SCHEMA)).collect())) == [(5, 6), (5, 7)]
+
+
+def test_texts_that_are_no_sha256_stay_apart(spark):
+    texts = ["0f", "f", "ab" * 32, "AB" * 32, "ab" * 31, "zz" * 32, " 0F ", "ab" * 33]
+    rows = [(i, t, None, None, 1, 1, 0.0, None, None) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, near_images.alike_pairs(spark.createDataFrame(rows, SCHEMA)).collect())) == [(0, 6), (2, 3)]
