@@ -30,16 +30,14 @@ def _log_bin(v: Column) -> Column:
     return (F.signum(v.cast("double")) * size).cast("int")
 
 
-def histogram(rows: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, bins: bool = True) -> DataFrame:
+def histogram(rows: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """Counts by key and bin: keys, ``bin`` (null for null values), ``n``, ``lo``, ``hi``, and the sums asked for.
 
-    Without ``bins`` a key has one bin: the round before the first, for who asks for no rank.
-
     ``sums`` maps names to aggregate columns that merge by the same function (sum, min, max) in :func:`totals`.
     Null keys form a group of their own.
     """
     v = F.col(value).cast("long")
-    return rows.groupBy(*keys, *([_log_bin(v).alias("bin")] if bins else [])).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), *[c.alias(n) for n, c in (sums or {}).items()])
+    return rows.groupBy(*keys, _log_bin(v).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), *[c.alias(n) for n, c in (sums or {}).items()])
 
 
 def totals(hist: DataFrame, keys: Sequence[str], merges: dict[str, Column] | None = None) -> DataFrame:
@@ -65,8 +63,8 @@ def _locate(hist: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFram
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], hist: DataFrame | None = None, max_rounds: int = 20) -> DataFrame:
     """keys, ``p``, ``quantile``: the smallest value whose rank is at least p times the key's non-null values (at least 1).
 
-    ``value`` is cast to long. Keys without a non-null value have no row. An empty table gives an empty result. ``hist``
-    is a materialized :func:`histogram` of the same rows, if the caller has it already.
+    ``value`` is cast to long. Without ``keys`` all rows are one key. Keys without a non-null value have no row. An empty
+    table gives an empty result. ``hist`` is a materialized :func:`histogram` of the same rows, if the caller has it already.
     """
     keys = list(keys)
     narrow = rows.select(*keys, F.col(value).cast("long").alias("_v")).where("_v is not null")
@@ -86,19 +84,19 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Seq
         open_ = at.where(~(first | last))
         if open_.isEmpty():
             return done
-        # One interval per key and bin, though several ranks may lie in it. The intervals of one key don't overlap.
-        spans = materialize(open_.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")), "intervals")
+        # One interval per key and bin, though several ranks may lie in it. The intervals of one key don't overlap, so a row
+        # meets one at most.
+        spans = materialize(open_.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias("_from"), F.col("hi").alias("_to")).distinct(), "intervals")
         spans, small = broadcast_if_small(spans)
         left = source
         if small:
-            joined = left.join(spans, _same(left, spans, keys))
+            joined = left.join(spans, _same(left, spans, keys) & F.col("_v").between(F.col("_from"), F.col("_to")))
         else:
             salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
             left = left.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)))
             spread = spans.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            joined = left.join(spread, _same(left, spread, keys) & (left["_salt"] == spread["_copy"]))
-        inside = joined.select(*keys, "_v", F.get(F.filter("_spans", lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"])), F.lit(0)).alias("_s"))
-        inside = materialize(inside.where("_s is not null").select(*keys, "_v", F.col("_s.lo").alias("_from"), F.col("_s.hi").alias("_to")), "survivors")
+            joined = left.join(spread, _same(left, spread, keys) & (left["_salt"] == spread["_copy"]) & F.col("_v").between(F.col("_from"), F.col("_to")))
+        inside = materialize(joined.select(*keys, "_v", "_from", "_to"), "survivors")
         # After the logarithmic round an interval is narrow against its values, so the differences can't overflow.
         linear = F.floor((F.col("_v") - F.col("_from")).cast("double") / ((F.col("_to") - F.col("_from")).cast("double") + 1) * LINEAR_BINS).cast("long")
         hist = inside.groupBy(*keys, "_from", linear.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))

@@ -104,6 +104,27 @@ def test_heavy_groups_count_repeats(spark):
     assert profile["s", "big"].jobs == 50 and profile["s", "big"].waited_p50 == 0 and profile[None, None].waited_p50 is None
 
 
+def test_heavy_groups_by_refined_ranks(spark, monkeypatch):
+    """Pairs at the share exactly and one row below it, among many of one row; the ranks go through several rounds."""
+    rounds, locate = [], quantiles._locate
+    monkeypatch.setattr(quantiles, "_locate", lambda *a: rounds.append(1) or locate(*a))
+    monkeypatch.setattr(quantiles, "LINEAR_BINS", 8)
+    keys = [("s", "at")] * 49 + [("t", "at")] * 48 + [(None, "at")] * 49 + [("s", None)] * 60 + [("s", f"k{i}") for i in range(494)]
+    rows = [(i, s, k, "{}", 1, T0, T0) for i, (s, k) in enumerate(keys)]
+    jobs = spark.createDataFrame(rows, "id long, stage string, group_key string, payload_json string, attempts int, created_at timestamp, updated_at timestamp")
+    assert len(rows) == 700 and 0.07 * 700 > 49
+    assert {tuple(r) for r in groups.heavy_groups(jobs, 0.07).collect()} == {("s", "at"), (None, "at")} and len(rounds) > 1
+    assert {tuple(r) for r in groups.heavy_groups(jobs, 0.0005).collect()} == set(keys) - {("s", None)}
+    assert groups.heavy_groups(jobs.where("group_key is null")).count() == 0
+
+
+def test_heavy_groups_of_equal_hashes(spark, monkeypatch):
+    """Pairs whose hashes are equal are counted apart."""
+    monkeypatch.setattr(groups.F, "xxhash64", lambda *cols: F.lit(5).cast("long"))
+    jobs = spark.createDataFrame([(i, "s", "ab"[i % 10 > 0], "{}", 1, T0, T0) for i in range(100)], "id long, stage string, group_key string, payload_json string, attempts int, created_at timestamp, updated_at timestamp")
+    assert [tuple(r) for r in groups.heavy_groups(jobs, 0.5).collect()] == [("s", "b")]
+
+
 # Joins ---------------------------------------------------------------------------------------------------------------
 
 
